@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from . import common as C
+from .oracle import OP8, OP9
+
+
+def byte_bpe_50k() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
@@ -11,5 +19,35 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(C.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_quality_classifier(spark, sf_dir):
+    from .quality import judge
+
+    return judge(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op5_token_files(spark, sf_dir):
+    from .token_files import token_digests
+
+    return token_digests(C.table(spark, sf_dir, "documents"), byte_bpe_50k(), end_id=0)
+
+
+def op6_decontamination(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing(spark, sf_dir):
+    from .mixing import mix_sizes
+
+    return mix_sizes(C.table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark, sf_dir):
+    from .url_filter import judge
+
+    return judge(C.table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_decontamination, op8_mixing, op9_url_filter)}
+ORACLE_SQL = {"op8_mixing": OP8, "op9_url_filter": OP9}
