@@ -19,6 +19,12 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(C.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_html_extraction(spark, sf_dir):
+    from .html_text import extract
+
+    return extract(C.table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark, sf_dir):
     from .quality import judge
 
@@ -37,6 +43,12 @@ def op6_decontamination(spark, sf_dir):
     return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    from .vector_join import near_duplicates
+
+    return near_duplicates(C.table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op8_mixing(spark, sf_dir):
     from .mixing import mix_sizes
 
@@ -49,5 +61,5 @@ def op9_url_filter(spark, sf_dir):
     return judge(C.table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_decontamination, op8_mixing, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_html_extraction, op4_quality_classifier, op5_token_files, op6_decontamination, op7_embedding_near_dedup, op8_mixing, op9_url_filter)}
 ORACLE_SQL = {"op8_mixing": OP8, "op9_url_filter": OP9}
