@@ -13,6 +13,14 @@ def byte_bpe_50k() -> str:
         return f.read()
 
 
+def op1_token_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .token_counts import count_tokens, sample_edits
+
+    return count_tokens(C.table(spark, sf_dir, "documents"), byte_bpe_50k(), sample_edits(F.col("text")))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     from .set_join import jaccard_components
 
@@ -61,5 +69,11 @@ def op9_url_filter(spark, sf_dir):
     return judge(C.table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_html_extraction, op4_quality_classifier, op5_token_files, op6_decontamination, op7_embedding_near_dedup, op8_mixing, op9_url_filter)}
+def op10_suffix_array_dedup(spark, sf_dir):
+    from .long_repeats import remove_repeats
+
+    return remove_repeats(C.table(spark, sf_dir, "documents"), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_html_extraction, op4_quality_classifier, op5_token_files, op6_decontamination, op7_embedding_near_dedup, op8_mixing, op9_url_filter, op10_suffix_array_dedup)}
 ORACLE_SQL = {"op8_mixing": OP8, "op9_url_filter": OP9}

@@ -230,3 +230,13 @@ def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: B
     free = keys.where("enough").select("sid").distinct().withColumn("free", F.lit(True))
     stay = left.join(free, "sid", "left").where(~(F.coalesce("free", F.lit(False)) & (F.col("size") > hot_group))).select("sig", "sid", "comp")
     return stay.unionByName(keys.select("sig", "sid", "comp"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without those that link to a document of lesser doc_id, directly or by others.
+
+    Of rows that share a doc_id those of one text stay together. Rows of a null doc_id or without words stay.
+    """
+    classes = jaccard_components(docs, **options)
+    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id_")).distinct()
+    return docs.join(gone, docs.doc_id == gone.gone_id_, "left_anti")
