@@ -10,7 +10,8 @@ Candidates are verified exactly, on whole sets, from the text.
 
 Only component ids are asked for, so candidates are taken as stars: each set against the leaders of its lists, components
 of the verified links, then only pairs across components, with more leaders each round, until no list spans two
-components. A leader has met its whole list and leaves it; no list is collected and no list emits all of its pairs.
+components. Those are first held against parities of the sets, which show most pairs too far apart within the join. A
+leader has met its whole list and leaves it; no list is collected and no list emits all of its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from .common import U
 
-MEMBER = "doc_id long, n_shingles long, sid long, sigs array<long>"
+MEMBER = "doc_id long, n_shingles long, sid long, sigs array<long>, parity array<long>"
+WORDS = 8  # 64-bit words of parity
+TRAITS = ["n", *(f"p{i}" for i in range(WORDS))]
 
 
 class Bands:
@@ -103,10 +106,23 @@ def sid_of(items: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * WORDS classes of hashes: whether s has an odd number of them. Two sets differ in at least as
+    many elements as their parities in bits."""
+    odd = np.bincount((s & U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint64) & U(1)
+    return (odd.reshape(WORDS, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def may_link(num: int, den: int) -> F.col:
+    """Whether parities leave room for a link between the sets of traits n, p0.. and hn, hp0..: none that links is lost."""
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"hp{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("hp0"))))
+    return (differ * (den + num) <= (F.col("n") + F.col("hn")) * (den - num)) & (F.col("n") * den >= F.col("hn") * num) & (F.col("hn") * den >= F.col("n") * num)
+
+
 def _members(k: int, bands: Bands):
     def run(batches):
         for b in batches:
-            ids, ns, sids, sigs, at = [], [], [], [], [0]
+            ids, ns, sids, sigs, at, odd = [], [], [], [], [0], []
             for i, t in zip(b.column(0), b.column(1)):
                 s = set_of(t.as_py(), k)
                 ids.append(i.as_py())
@@ -114,8 +130,9 @@ def _members(k: int, bands: Bands):
                 sids.append(sid_of(s.tobytes()))
                 sigs.append(signatures(s, bands) if len(s) else s)
                 at.append(at[-1] + len(sigs[-1]))
+                odd.append(C.signed(parity(s)).tolist())
             flat = pa.array(C.signed(np.concatenate([np.zeros(0, np.uint64), *sigs])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], names=["doc_id", "n_shingles", "sid", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sid", "sigs", "parity"])
 
     return run
 
@@ -181,11 +198,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = check(star)
     done.append(links)
     comps = C.components(links)
-    leaders, relieved = 4, False
+    traits = made.where("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("parity").alias("parity")).select("sid", "n", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)])
+    leaders, relieved = 64, False
     while True:
-        now = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("comp", "sid").alias("comp"))
+        now = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         mixed = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("sig", "size")
-        left = C.spill(now.join(mixed, "sig"), "left")
+        left = now.join(mixed, "sig")
+        left = C.spill(left if relieved else left.join(traits, "sid"), "left")
         done.append(left)
         if left.isEmpty():
             break
@@ -194,14 +213,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             done.append(left)
         relieved = True
         ranked = Window.partitionBy("sig").orderBy(F.xxhash64("sid"), "sid")
-        head = C.spill(left.select("sig", "sid", "comp", F.row_number().over(ranked).alias("rn")).where(F.col("rn") <= leaders), "heads")
-        pairs = left.join(head.select("sig", F.col("sid").alias("h"), F.col("comp").alias("hc")), "sig").where("comp <> hc")
+        head = left.select("sig", "sid", "comp", *TRAITS, F.row_number().over(ranked).alias("rn")).where(F.col("rn") <= leaders)
+        head = C.spill(head.select("sig", F.col("sid").alias("h"), F.col("comp").alias("hc"), *[F.col(c).alias(f"h{c}") for c in TRAITS]), "heads")
+        pairs = left.join(head, "sig").where((F.col("comp") != F.col("hc")) & may_link(num, den))
         links = C.spill(links.unionByName(check(pairs.select(F.greatest("sid", "h").alias("a"), F.least("sid", "h").alias("b")).distinct())), "links")
         done += [head, links]
         comps = C.components(links)
-        lists = C.spill(left.join(head.select("sig", "sid"), ["sig", "sid"], "left_anti").select("sig", "sid"), "lists")
+        lists = C.spill(left.drop("comp", "size").join(head.select("sig", F.col("h").alias("sid")), ["sig", "sid"], "left_anti"), "lists")
         done.append(lists)
-        leaders *= 8
+        leaders *= 16
     roots = reps.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
     ids = roots.join(roots.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("sid", "component_id")
     out = C.spill(members.join(ids, "sid", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id")), "classes")
@@ -211,25 +231,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: Bands, hot_group: int) -> DataFrame:
     """Lists without the hot ones of sets whose budget allows it, with those sets' one-deletion keys instead."""
-    hot = left.where(F.col("size") > hot_group).select("sig", "sid", "comp")
-    per = hot.groupBy("sid").agg(F.collect_set("sig").alias("hot"), F.first("comp").alias("comp"))  # at most two bands' segments of a set
-    src = docs.join(per.join(reps, "sid"), docs.doc_id == F.col("rep")).select("sid", "comp", "text", "hot")
+    hot = left.where(F.col("size") > hot_group).select("sig", "sid")
+    per = hot.groupBy("sid").agg(F.collect_set("sig").alias("hot"))  # at most two bands' segments of a set
+    src = docs.join(per.join(reps, "sid"), docs.doc_id == F.col("rep")).select("sid", "text", "hot")
 
     def run(batches):
         for b in batches:
-            for sid, comp, t, h in zip(*(b.column(i) for i in range(4))):
+            for sid, t, h in zip(*(b.column(i) for i in range(3))):
                 s = set_of(t.as_py(), k)
                 if sid_of(s.tobytes()) != sid.as_py():
                     continue
                 keys, enough = neighbourhood(s, bands, set(h.as_py()))
                 keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(keys)), pa.array([sid.as_py()] * n, pa.int64()), pa.array([comp.as_py()] * n, pa.int64()), pa.array([enough] * n, pa.bool_())], names=["sig", "sid", "comp", "enough"])
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(keys)), pa.array([sid.as_py()] * n, pa.int64()), pa.array([enough] * n, pa.bool_())], names=["sig", "sid", "enough"])
 
-    keys = C.spill(src.mapInArrow(run, "sig long, sid long, comp long, enough boolean").distinct(), "deletions", 200)
+    keys = C.spill(src.mapInArrow(run, "sig long, sid long, enough boolean").distinct(), "deletions", 200)
     free = keys.where("enough").select("sid").distinct().withColumn("free", F.lit(True))
-    stay = left.join(free, "sid", "left").where(~(F.coalesce("free", F.lit(False)) & (F.col("size") > hot_group))).select("sig", "sid", "comp")
-    return stay.unionByName(keys.select("sig", "sid", "comp"))
+    stay = left.join(free, "sid", "left").where(~(F.coalesce("free", F.lit(False)) & (F.col("size") > hot_group))).select("sig", "sid", "comp", *TRAITS)
+    known = left.select("sid", "comp", *TRAITS).dropDuplicates(["sid"])
+    return stay.unionByName(keys.select("sig", "sid").join(known, "sid"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
