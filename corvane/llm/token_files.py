@@ -26,6 +26,7 @@ from .common import U
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60, 64])
 ESCAPE, BLOCK, PAD = 15, 256, 60
+SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)  # bits of small ids
 HEAD = struct.Struct("<4sIQQQQ")
 MAGIC = b"CVS8"
 NULL_ID = -(1 << 63)
@@ -40,7 +41,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(blocks * BLOCK, np.uint64)
     full[:n] = ids
     grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
-    if n and int(ids.max()) >= 1 << 52:
+    if not n or int(ids.max()) < len(SMALL):
+        bits = SMALL[grid.astype(np.int64)]
+    elif int(ids.max()) >= 1 << 52:
         bits = np.searchsorted(U(1) << np.arange(64, dtype=np.uint64), grid, side="right").astype(np.uint8)
     else:
         bits = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)
@@ -135,7 +138,7 @@ class Encoder:
 
     PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
-    def __init__(self, tokenizer_json: str, room: int = 400_000):
+    def __init__(self, tokenizer_json: str, room: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
