@@ -42,9 +42,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = 3) -> DataFrame:
     after = fill.rowsBetween(0, Window.unboundedFollowing)
     s = s.withColumns({"total": F.sum("source_size").over(Window.partitionBy()), "spent": F.coalesce(F.sum("limit").over(before), F.lit(0.0)), "share": F.sum("w").over(after)})
     s = s.withColumn("level", (F.col("total") - F.col("spent")) / F.col("share"))
-    # the level of the first source that stays under its limit holds for all after it
-    s = s.withColumn("held", F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct(F.col("limit") / F.col("w"), "level"))).over(Window.partitionBy()))
-    level = F.col("held.level")
+    # the level of the first source that stays under its limit, the highest of such, holds for all after it
+    s = s.withColumn("held", F.max(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(Window.partitionBy()))
+    level = F.col("held")
     return s.select("source", "source_size", F.when(level.isNull() | (level * F.col("w") > F.col("limit")), F.col("limit")).otherwise(level * F.col("w")).alias("target"))
 
 

@@ -28,7 +28,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(
 f AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (SELECT sum(source_size) FROM s) AS total FROM s),
 g AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-l AS (SELECT arg_min(level, cap / w) FILTER (level * w <= cap) AS level FROM g),
+l AS (SELECT max(level) FILTER (level * w <= cap) AS level FROM g),
 t AS (SELECT g.source, source_size, total, CASE WHEN l.level IS NULL OR l.level * w > cap THEN cap ELSE l.level * w END AS target FROM g, l),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.total, sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

@@ -67,13 +67,13 @@ class Cascade:
         return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits).cast("long")) for i in range(self.hashes)]
 
     def _array(self, keys: DataFrame, level: int, bits: int) -> Column:
-        """The level as an array of 64-bit words, made by the executors and put into the plan as one value."""
+        """The level as an array of 64-bit words: a table of one row, whose value is put into plans."""
         spark = keys.sparkSession
         places = keys.select(F.explode(F.array(*self._places(F.col("key"), level, bits))).alias("at"))
         words = places.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
         dense = spark.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
         packed = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"]).alias("words"))
-        return packed.scalar()
+        return C.spill(packed, "level").scalar()
 
     def _in(self, key: Column, level: int) -> Column:
         words, bits = self.levels[level]
