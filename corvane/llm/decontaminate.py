@@ -138,7 +138,7 @@ def _match(blocks, error: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.08) -> DataFrame:
     """doc_id, item_id, distance: items of benchmark (item_id, text) in whole texts of docs (doc_id, text), within budget.
 
     A null, empty or blank text or item matches nothing; equal rows of docs match alike, one row each; rows of one
@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) ->
     return plan(block) if block or out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, error: float = 0.08) -> DataFrame:
     """The rows of docs in whose text no item occurs within its budget, with all columns; decided within the row.
 
     A stage of a pipeline: it deals nothing out, since each task has the whole benchmark. Benchmarks of over BLOCK_BYTES
