@@ -24,9 +24,9 @@ def nodes_with_groups(ids: DataFrame, nodes: DataFrame, table: DataFrame, fk: st
     if kind_of_type(table.schema[fk].dataType) != "int":
         raise SchemaMismatch("the joining column must hold whole numbers")
     n = nodes.select(F.col("id").alias("__n"), F.struct("id", "label", "properties").alias("node"))
-    wanted = ids.select("id").distinct()
+    wanted = ids.select(F.col("id").alias("__w")).distinct()
     rest = [c for c in table.columns if c != pk]
-    groups = table.join(wanted, F.col(fk) == F.col("id"), "left_semi").groupBy(F.col(fk).cast("long").alias("__f")).agg(F.sort_array(F.collect_list(F.struct(pk, *rest))).alias("rows"))
+    groups = table.join(wanted, F.col(fk) == F.col("__w"), "left_semi").groupBy(F.col(fk).cast("long").alias("__f")).agg(F.sort_array(F.collect_list(F.struct(pk, *rest))).alias("rows"))
     out = ids.join(n, F.col("id") == F.col("__n"), "left").join(groups, F.col("id") == F.col("__f"), "left")
     return out.select("pos", "id", "node", F.coalesce("rows", F.array().cast(groups.schema["rows"].dataType)).alias("rows"))
 

@@ -77,7 +77,7 @@ def bm25(df: DataFrame, key: str, column: str, query: str, limit: int | None = 1
         score = score.where(F.col("nq") == len(terms))
     out = df.join(score.select("__key", "score"), F.col(key) == F.col("__key")).drop("__key")
     if where is not None:
-        out = out.where(P.compile(where, P.resolver(df)))
+        out = out.where(P.compile(where, P.resolver(df), strict=False))
     out = out.orderBy(F.desc("score"), F.col(key))
     return out if limit is None else out.limit(limit)
 
@@ -116,7 +116,7 @@ def nearest(df: DataFrame, key: str, column: str, query: list[float], k: int = 1
         raise InvalidQuery("the query vector is empty")
     if metric not in METRICS:
         raise InvalidQuery(f"no metric {metric!r}")
-    rows = df if where is None else df.where(P.compile(where, P.resolver(df)))
+    rows = df if where is None else df.where(P.compile(where, P.resolver(df), strict=False))
     v = unpack(column, df.schema[column].dataType, len(query))
     rows = rows.withColumn("__v", v).where(F.col("__v").isNotNull())
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -274,7 +274,7 @@ class Compiler:
     # ------------------------------------------------------------ joins
 
     def _inline(self, props: dict, t: P.Term) -> list[Column]:
-        return [P.compile_cmp(P.step(t, k), "=", v) if v is not None else F.lit(False) for k, v in props.items()]
+        return [P.compile_cmp(P.step(t, k), "=", v, strict=False) if v is not None else F.lit(False) for k, v in props.items()]
 
     def _node(self, i: int) -> DataFrame:
         n = self.p.nodes[i]
@@ -450,8 +450,18 @@ class Compiler:
             if fn == "avg":
                 return F.avg(t.column.cast("double"))
             return F.sum(t.column.cast(T.DecimalType(38, 0))).cast("bigint") if t.kind == "int" else F.sum(t.column)
+        if t.kind == "any":  # by kind, then value
+            order = F.struct(F.when(F.schema_of_variant(t.column) == "STRING", 1).otherwise(0), P.typed(t, "float"), P.typed(t, "str"))
+            return (F.min_by if fn == "min" else F.max_by)(t.column, F.when(~P.is_null(t), order))
         return (F.min if fn == "min" else F.max)(t.column)
 
+    @staticmethod
+    def group_key(name: str, type: T.DataType) -> Column:
+        """What groups by a result: nodes and edges by id, variants by their JSON text."""
+        if isinstance(type, T.StructType):
+            return F.col(f"{name}.id")
+        return F.to_json(F.struct(name)) if isinstance(type, (T.VariantType, T.MapType, T.ArrayType)) else F.col(name)
+
     def run(self) -> DataFrame:
         p = self.p
         base = self.bindings()
@@ -464,11 +474,11 @@ class Compiler:
         if grouped:
             plain = [i for i in items if i.expr[0] != "agg"]
             flat = base.withColumns({f"k{j}": self.term(i.expr).column for j, i in enumerate(plain)}) if plain else base
-            by = [f"k{j}" if not isinstance(flat.schema[f"k{j}"].dataType, T.StructType) else f"k{j}.id" for j in range(len(plain))]
+            by = [self.group_key(f"k{j}", flat.schema[f"k{j}"].dataType) for j in range(len(plain))]
             shown = {i.name: f"k{j}" for j, i in enumerate(plain)}
             aggs = [self.aggregate(i.expr).alias(f"a{j}") for j, i in enumerate(items) if i.expr[0] == "agg"]
             firsts = [F.first(f"k{j}").alias(f"f{j}") for j in range(len(plain))]
-            out = (flat.groupBy(*[F.col(b).alias(f"g{j}") for j, b in enumerate(by)]) if plain else flat).agg(*aggs, *firsts)
+            out = (flat.groupBy(*[b.alias(f"g{j}") for j, b in enumerate(by)]) if plain else flat).agg(*aggs, *firsts)
             out = out.select(*[F.col(f"f{shown[i.name][1:]}" if i.name in shown else f"a{j}").alias(i.name) for j, i in enumerate(items)])
             for e, text, desc in p.order:
                 if text not in names:

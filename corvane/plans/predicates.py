@@ -230,7 +230,7 @@ def is_null(t: Term) -> Column:
     return settle(F.is_variant_null(t.column)) | t.column.isNull() if t.kind == "any" else t.column.isNull()
 
 
-def compile_cmp(t: Term, op: str, v: Any) -> Column:
+def compile_cmp(t: Term, op: str, v: Any, strict: bool = True) -> Column:
     kind = kind_of_value(v)
     if kind == "null":
         return is_null(t) if op == "=" else ~is_null(t) if op == "<>" else F.lit(False)
@@ -244,7 +244,7 @@ def compile_cmp(t: Term, op: str, v: Any) -> Column:
     out = compare(c, op, right)
     if t.kind in ("float", "any") and kind in NUMBERS:
         out = out & ~F.isnan(c.cast("double"))
-    return settle(out)
+    return settle(out) if strict else out
 
 
 def compile_contains(t: Term, v: Any) -> Column:
@@ -268,34 +268,37 @@ def compile_contains(t: Term, v: Any) -> Column:
     return F.lit(False)
 
 
-def compile(p: Pred, resolve) -> Column:
-    """The predicate as a column that is true or false, never null."""
-    if isinstance(p, And):
-        return reduce(lambda a, b: a & b, [compile(x, resolve) for x in p.parts], F.lit(True))
-    if isinstance(p, Or):
-        return reduce(lambda a, b: a | b, [compile(x, resolve) for x in p.parts], F.lit(False))
+def compile(p: Pred, resolve, strict: bool = True) -> Column:
+    """The predicate as a column that is true or false. If not strict, as in a filter, null may stand for false, which
+    lets scans take the plain comparisons; below NOT it never does."""
+    final = settle if strict else lambda c: c
+    if isinstance(p, (And, Or)):
+        parts = [compile(x, resolve, strict) for x in p.parts]
+        if not parts:
+            return F.lit(isinstance(p, And))
+        return reduce((lambda a, b: a & b) if isinstance(p, And) else (lambda a, b: a | b), parts)
     if isinstance(p, Not):
         return ~compile(p.part, resolve)
     t = resolve(p.path)
     if isinstance(p, Cmp):
-        return compile_cmp(t, p.op, p.value)
+        return compile_cmp(t, p.op, p.value, strict)
     if isinstance(p, In):
         plain = [v for v in p.values if v is not None]
         if plain and t.kind != "any" and all(kind_of_value(v) == t.kind and t.kind not in ("float", "list", "map") for v in plain):
-            return settle(t.column.isin([str(v) if t.kind == "uuid" else v for v in plain]))
-        return reduce(lambda a, b: a | b, [compile_cmp(t, "=", v) for v in plain], F.lit(False))
+            return final(t.column.isin([str(v) if t.kind == "uuid" else v for v in plain]))
+        return reduce(lambda a, b: a | b, [compile_cmp(t, "=", v, strict) for v in plain], F.lit(False))
     if isinstance(p, IsNull):
         return is_null(t)
     if isinstance(p, Prefix):
-        return settle(typed(t, "str").startswith(F.lit(p.value))) if t.kind in ("str", "any") else F.lit(False)
+        return final(typed(t, "str").startswith(F.lit(p.value))) if t.kind in ("str", "any") else F.lit(False)
     if isinstance(p, Like):
         if t.kind not in ("str", "any") or not isinstance(p.pattern, str):
             return F.lit(False)
         c, pattern = typed(t, "str"), p.pattern
         if p.fold:
-            return settle(F.lower(c).rlike(like_pattern(pattern.lower())))
+            return final(F.lower(c).rlike(like_pattern(pattern.lower())))
         head = pattern[:-1]
         if pattern.endswith("%") and not set(head) & set("%_"):
-            return settle(c.startswith(F.lit(head)))
-        return settle(c.rlike(like_pattern(pattern)))
+            return final(c.startswith(F.lit(head)))
+        return final(c.rlike(like_pattern(pattern)))
     return compile_contains(t, p.value)

@@ -89,7 +89,7 @@ class Query:
 
     def matching(self) -> DataFrame:
         """All rows that pass the filter, unordered."""
-        return self.df if self.pred is None else self.df.where(P.compile(self.pred, self.resolve))
+        return self.df if self.pred is None else self.df.where(P.compile(self.pred, self.resolve, strict=False))
 
     def rows(self) -> DataFrame:
         """Rows in order and cut to the page. Without an order a page is taken by pk."""

@@ -15,8 +15,8 @@ RESERVED = frozenset("nodes edges adj_out adj_in meta relschema counters".split(
 _NAME = re.compile(r"[A-Za-z0-9_]{1,100}")
 
 
-def check_name(name: str) -> str:
-    if not _NAME.fullmatch(name) or "__" in name or name in RESERVED:
+def check_name(name: str, reserved=RESERVED) -> str:
+    if not _NAME.fullmatch(name) or "__" in name or name in reserved:
         raise SchemaMismatch(f"invalid name {name!r}")
     return name
 
@@ -85,7 +85,7 @@ class TableSchema:
             raise SchemaMismatch(f"table {self.name!r} has no primary key column")
         out = []
         for f in self.fields:
-            check_name(f.name)
+            check_name(f.name, ())
             if f.kind not in KINDS:
                 raise SchemaMismatch(f"column {f.name!r} has no kind {f.kind!r}")
             if f.name == self.pk:
