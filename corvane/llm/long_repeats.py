@@ -7,7 +7,9 @@ to shards of bounded size, and each shard is indexed: its Burrows-Wheeler transf
 common prefix with the suffix above sampled at each run's start. Within a run, the prefix shrinks by one a step, so one pass
 over the text streams every position's longest match from those samples; positions with long enough ones are marked.
 
-Shards of a gram with more contexts than `block` are pairs of blocks, so that every two contexts meet in one of them.
+Two contexts that match long enough agree on half of it either before or after the anchor; where a gram has more than a few
+contexts, only those that agree so meet. If they are more than `block`, their shards are pairs of blocks, so that every two
+meet in one of them.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from .common import U
 GRAM, PLACE_BITS = 32, 26
 TABLE = C.mix(np.arange(1, 257, dtype=np.uint64))
 SEPARATOR = 0xFF  # in no UTF-8 text
+RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+#: Contexts of one gram that are compared as they are; more are first told apart by the text on either side.
+FEW = 64
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -66,7 +71,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = wide[:n].copy()
     for i in range(1, 8):
         key = (key << U(8)) | wide[i : n + i]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     start = np.flatnonzero(new)
@@ -77,11 +82,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     slots = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
     while len(slots) and h < n:
         sub = sa[slots]
-        one, two = rank[sub], rank[np.minimum(sub + h, n)]
-        order = np.lexsort((two, one))
-        sub, one, two = sub[order], one[order], two[order]
+        pair = rank[sub] * (n + 1) + rank[np.minimum(sub + h, n)] + 1
+        order = np.argsort(pair)
+        sub, pair = sub[order], pair[order]
         sa[slots] = sub
-        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
         start = np.flatnonzero(new)
         rank[sub] = np.repeat(slots[start], np.diff(np.concatenate((start, [len(slots)]))))
         slots = slots[~(new & np.concatenate((new[1:], [True])))]
@@ -208,6 +213,9 @@ def _scan(length: int):
 
 
 def _contexts(length: int):
+    left = (length - GRAM) // 2  # two places whose match has fewer bytes before the anchor have `right` after
+    right = length - left + 1
+
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
@@ -216,20 +224,21 @@ def _contexts(length: int):
                 at, h = anchors(raw, length)
                 h = C.signed(h)
                 on = np.isin(h, np.array(wanted.as_py(), np.int64))
-                grams, ids, starts, size, texts = [], [], [], [], []
+                found: dict[tuple[int, int], tuple] = {}
                 for p, g in zip(at[on].tolist(), h[on].tolist()):
                     lo, hi = max(0, p - (length - GRAM)), min(len(raw), p + length)
                     data = raw[lo:hi]
-                    key = xxhash.xxh3_64_intdigest(data, seed=p - lo) - (1 << 63)
-                    grams.append(g)
-                    ids.append(key)
-                    starts.append(lo)
-                    size.append(hi - lo)
-                    new = (g, key) not in seen
-                    texts.append(data if new else None)
-                    if new and len(seen) < 1_000_000:
-                        seen.add((g, key))
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(ids, pa.int64()), pa.array([digest.as_py()] * len(ids), pa.binary()), pa.array(starts, pa.int64()), pa.array(size, pa.int32()), pa.array(texts, pa.binary())], names=["gram", "ctx", "digest", "start", "size", "data"])
+                    key = (g, xxhash.xxh3_64_intdigest(data, seed=p - lo) - (1 << 63))
+                    if key in found:
+                        found[key][0].append(lo)
+                        continue
+                    half = [xxhash.xxh3_64_intdigest(raw[p - left : p]) - (1 << 63) if p >= left else None, xxhash.xxh3_64_intdigest(raw[p : p + right]) - (1 << 63) if p + right <= len(raw) else None]
+                    found[key] = ([lo], hi - lo, *half, None if key in seen else data)
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                n = len(found)
+                cols = list(zip(*found.values())) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([digest.as_py()] * n, pa.binary()), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["gram", "ctx", "digest", "starts", "size", "lefts", "rights", "data"])
 
     return run
 
@@ -238,9 +247,8 @@ def _index(length: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         found = mark([(r["digest"], r["start"], r["data"]) for r in rows], length)
-        s = [spans(g, length) for g in found]
-        out = [(r["gram"], r["ctx"], a, b) for r, each in zip(rows, s) for a, b in each]
-        return pa.table({"gram": pa.array([x[0] for x in out], pa.int64()), "ctx": pa.array([x[1] for x in out], pa.int64()), "a": pa.array([x[2] for x in out], pa.int64()), "b": pa.array([x[3] for x in out], pa.int64())})
+        out = [(r["gram"], r["ctx"], [{"a": a, "b": b} for a, b in spans(g, length)]) for r, g in zip(rows, found) if g.any()]
+        return pa.table({"gram": pa.array([x[0] for x in out], pa.int64()), "ctx": pa.array([x[1] for x in out], pa.int64()), "runs": pa.array([x[2] for x in out], RUNS)})
 
     return run
 
@@ -248,7 +256,7 @@ def _index(length: int):
 def _merge(batches):
     for b in batches:
         whole = [merged([(x["a"], x["b"]) for x in each]) for each in b.column(1).to_pylist()]
-        cells = pa.array([[{"a": a, "b": z} for a, z in w] for w in whole], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+        cells = pa.array([[{"a": a, "b": z} for a, z in w] for w in whole], RUNS)
         yield pa.RecordBatch.from_arrays([b.column(0), cells], names=["digest", "cuts"])
 
 
@@ -283,23 +291,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 2048) -> Dat
     wanted = C.spill(each.join(twice, "gram").groupBy("digest").agg(F.collect_set("gram").alias("wanted")), "wanted")
     texts = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(wanted, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     texts = C.spill(texts, "candidates")
-    places = C.spill(texts.mapInArrow(_contexts(length), "gram long, ctx long, digest binary, start long, size int, data binary"), "places")
-
-    kinds = places.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-    lone = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places")).where("kinds > 1")
-    whole = kinds.where((F.col("n") > 1) & (F.col("size") >= length)).select("gram", "ctx", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
-    one = places.where("data is not null").dropDuplicates(["gram", "ctx"]).select("gram", "ctx", "digest", "start", "data")
-    todo = one.join(lone, "gram").withColumn("blocks", F.ceil(F.col("kinds") / F.lit(float(block))).cast("int"))
-    todo = C.spill(todo, "contexts")
+    shape = "gram long, ctx long, digest binary, starts array<long>, size int, lefts long, rights long, data binary"
+    places = C.spill(texts.mapInArrow(_contexts(length), shape), "places")
+
+    kinds = places.groupBy("gram", "ctx").agg(F.sum(F.size("starts")).alias("n"), F.first("size").alias("size"))
+    lone = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    pair = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b")))
+    whole = kinds.where((F.col("n") > 1) & (F.col("size") >= length)).select("gram", "ctx", pair.alias("runs"))
+    one = places.where("data is not null").dropDuplicates(["gram", "ctx"]).select("gram", "ctx", "digest", F.get("starts", F.lit(0)).alias("start"), "lefts", "rights", "data")
+    todo = C.spill(one.join(lone, "gram"), "contexts")
     size = todo.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards = max(1, size // (2 << 20))
+    shards = F.lit(max(1, size // (2 << 20)))
+    item = ["gram", "ctx", "digest", "start", "data"]
+    few = todo.where(F.col("kinds") <= FEW).select(F.pmod("gram", shards).alias("pair"), F.lit(0).alias("hot"), *item)
+    halves = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64("gram", F.lit(i), c)) for i, c in enumerate(("lefts", "rights"))]), lambda x: x.isNotNull())
+    many = todo.where(F.col("kinds") > FEW).select(F.explode(halves).alias("half"), *item)
+    alike = many.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("blocks"))
+    many = many.join(alike, "half")
     mine = F.pmod(F.xxhash64("ctx"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = todo.withColumn("other", other).withColumn("pair", F.when(F.col("blocks") == 1, F.pmod("gram", F.lit(shards))).otherwise(F.xxhash64("gram", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))))
-    found = dealt.select("pair", F.col("blocks") > 1, "gram", "ctx", "digest", "start", "data").toDF("pair", "hot", "gram", "ctx", "digest", "start", "data").groupBy("pair", "hot").applyInArrow(_index(length), "gram long, ctx long, a long, b long")
-    cuts = C.spill(found.unionByName(whole), "cuts")
-    lines = cuts.join(places.select("gram", "ctx", "digest", "start"), ["gram", "ctx"]).select("digest", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("x")).distinct()
-    marked = C.spill(lines.groupBy("digest").agg(F.collect_list("x").alias("x")).mapInArrow(_merge, "digest binary, cuts array<struct<a:long,b:long>>"), "marked")
+    crowd = many.where("blocks > 1").withColumn("other", other).select(F.xxhash64("half", F.least(mine, F.col("other")), F.greatest(mine, F.col("other"))).alias("pair"), F.lit(2).alias("hot"), *item)
+    many = many.where("blocks = 1").select(F.pmod("half", shards).alias("pair"), F.lit(1).alias("hot"), *item)
+    found = few.unionByName(many).unionByName(crowd).groupBy("pair", "hot").applyInArrow(_index(length), "gram long, ctx long, runs array<struct<a:long,b:long>>")
+    cuts = C.spill(found.unionByName(whole).groupBy("gram", "ctx").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "cuts")
+    moved = F.flatten(F.transform("starts", lambda s: F.transform("runs", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b")))))
+    lines = cuts.join(places.select("gram", "ctx", "digest", "starts"), ["gram", "ctx"]).select("digest", moved.alias("x"))
+    marked = C.spill(lines.groupBy("digest").agg(F.flatten(F.collect_list("x")).alias("x")).mapInArrow(_merge, "digest binary, cuts array<struct<a:long,b:long>>"), "marked")
     rest = texts.join(marked, "digest").select("digest", "text", "cuts").mapInArrow(_rest, "digest binary, rest string")
     known = distinct.select("digest", "copies").join(marked, "digest", "left").join(rest, "digest", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)

@@ -36,8 +36,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("length,block", [(400, 2048), (400, 3), (100, 2)])
-def test_against_brute_force(spark, length, block):
+@pytest.mark.parametrize("length,block,few", [(400, 2048, 64), (400, 3, 1), (100, 2, 2), (101, 2048, 1)])
+def test_against_brute_force(spark, monkeypatch, length, block, few):
+    monkeypatch.setattr(R, "FEW", few)
     rows = corpus(length + block)
     got = R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, block).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, length)
