@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .common import U
 
-MEMBER = "doc_id long, n_shingles long, sid long, sigs array<long>, parity array<long>"
+MEMBER = "doc_id long, n_shingles long, sid long, parity array<long>"
+FILTER_BITS = 26  # the filter of shared signatures has 2^26 bits, whatever the corpus; when full it lets all pass
 WORDS = 8  # 64-bit words of parity
 TRAITS = ["n", *(f"p{i}" for i in range(WORDS))]
 
@@ -44,10 +45,12 @@ class Bands:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.start, n, side="right")) - 1
 
-    def parts(self, n: int) -> list[tuple[int, int]]:
-        """(band, number of segments) under which a set of n elements is indexed: its own, and the next lower it probes."""
+    def parts(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, segments, first so many that are used) under which a set of n elements is indexed: its own band, and the
+        next lower it probes. Of a pair both use at least one more than the differences that its sizes allow."""
         b = self.of(n)
-        return [(i, self.segments[i]) for i in (b, b - 1) if i >= 0]
+        most = {b: n * self.den // self.num, b - 1: self.start[b] - 1}
+        return [(i, self.segments[i], (n + most[i]) * (self.den - self.num) // (self.den + self.num) + 1) for i in (b, b - 1) if i >= 0]
 
 
 def cuts(s: np.ndarray, m: int) -> np.ndarray:
@@ -61,12 +64,12 @@ def tag(band: int, m: int, kind: int = 0) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The exact signatures of every segment under each band of s. Of m = 1 there are none: only equal sets link then."""
+    """The exact signatures of the segments used under each band of s. With one, only equal sets link: none is needed."""
     out, cs = [], np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(s), dtype=np.uint64)))
-    for band, m in bands.parts(len(s)):
-        if m > 1:
+    for band, m, used in bands.parts(len(s)):
+        if used > 1:
             c = cuts(s, m)
-            out.append(C.mix(cs[c[1:]] - cs[c[:-1]] + tag(band, m)))
+            out.append(C.mix(cs[c[1:]] - cs[c[:-1]] + tag(band, m))[:used])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -79,10 +82,11 @@ def neighbourhood(s: np.ndarray, bands: Bands, hot: set[int]) -> tuple[list[np.n
     out, enough = [], True
     mixed = C.mix(s)
     cs = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
-    for band, m in bands.parts(len(s)):
-        if m < 2:
+    for band, m, used in bands.parts(len(s)):
+        if used < 2:
             continue
-        c = cuts(s, m)
+        c = cuts(s, m)[: used + 1]
+        m = used
         whole = cs[c[1:]] - cs[c[:-1]]
         is_hot = np.isin(C.signed(C.mix(whole + tag(band, m))), np.fromiter(hot, np.int64, len(hot)))
         a = int(is_hot.sum())
@@ -92,7 +96,7 @@ def neighbourhood(s: np.ndarray, bands: Bands, hot: set[int]) -> tuple[list[np.n
         seg = np.repeat(np.arange(m), np.diff(c))
         keep = ~is_hot
         out.append(C.mix(whole + tag(band, m, 1))[keep])
-        out.append(C.mix(whole[seg] - mixed + tag(band, m, 1)[seg])[keep[seg]])
+        out.append(C.mix(whole[seg] - mixed[: c[-1]] + tag(band, m, 1)[seg])[keep[seg]])
     return out, enough
 
 
@@ -119,24 +123,52 @@ def may_link(num: int, den: int) -> F.col:
     return (differ * (den + num) <= (F.col("n") + F.col("hn")) * (den - num)) & (F.col("n") * den >= F.col("hn") * num) & (F.col("hn") * den >= F.col("n") * num)
 
 
-def _members(k: int, bands: Bands):
+def _members(k: int):
     def run(batches):
         for b in batches:
-            ids, ns, sids, sigs, at, odd = [], [], [], [], [0], []
+            ids, ns, sids, odd = [], [], [], []
             for i, t in zip(b.column(0), b.column(1)):
                 s = set_of(t.as_py(), k)
                 ids.append(i.as_py())
                 ns.append(len(s))
                 sids.append(sid_of(s.tobytes()))
-                sigs.append(signatures(s, bands) if len(s) else s)
-                at.append(at[-1] + len(sigs[-1]))
                 odd.append(C.signed(parity(s)).tolist())
-            flat = pa.array(C.signed(np.concatenate([np.zeros(0, np.uint64), *sigs])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sid", "sigs", "parity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sid", "parity"])
 
     return run
 
 
+def _lists(k: int, bands: Bands, shared=None):
+    """(sig, sid) of all texts; with a filter, of those signatures that it has."""
+
+    def run(batches):
+        bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            sids, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t in b.column(0):
+                s = set_of(t.as_py(), k)
+                if len(s):
+                    g = signatures(s, bands)
+                    if bits is not None:
+                        at = (g & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+                        g = g[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                    sigs.append(C.signed(g))
+                    sids.append(np.full(len(g), sid_of(s.tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
+
+    return run
+
+
+def shared_filter(dup: DataFrame) -> bytes:
+    """A bit for each low part of the signatures in dup: a bit array of fixed size, put together by the executors."""
+    at = F.expr(f"pmod(sig, {1 << FILTER_BITS}L) + 1")
+    made = dup.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = bytearray(1 << FILTER_BITS - 3)
+    for part, bits in made.collect():
+        out[(part - 1) * len(bits) : part * len(bits)] = bits
+    return bytes(out)
+
+
 def _sets(k: int):
     def run(batches):
         for b in batches:
@@ -175,15 +207,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     C.ship(docs.sparkSession)
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = C.spill(docs.mapInArrow(_members(k, bands), MEMBER), "members", 1000)
+    made = C.spill(docs.mapInArrow(_members(k), MEMBER), "members", 1000)
     members = made.select("doc_id", "n_shingles", "sid")
     reps = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
 
-    rows = made.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "sid")
-    dup = rows.groupBy("sig").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead <> most").select("sig", "lead")
-    lists = C.spill(rows.join(dup, "sig").distinct(), "lists")
+    # signatures are made twice rather than kept: nearly all are of one set, and what is shared is told by a small filter
+    texts = docs.where("doc_id is not null").select("text")
+    rows = texts.mapInArrow(_lists(k, bands), "sig long, sid long").repartition("sig")
+    dup = C.spill(rows.groupBy("sig").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead <> most").select("sig", "lead"), "shared", 1000)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_filter(dup))
+    lists = C.spill(texts.mapInArrow(_lists(k, bands, shared), "sig long, sid long").distinct().join(dup, "sig"), "lists", 1000)
     star = lists.where("sid <> lead").groupBy("sid").agg(F.min("lead").alias("b")).select(F.col("sid").alias("a"), "b")
-    done = [lists]
+    done = [lists, dup]
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = C.spill(pairs, "pairs")
@@ -230,7 +265,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: Bands, hot_group: int) -> DataFrame:
-    """Lists without the hot ones of sets whose budget allows it, with those sets' one-deletion keys instead."""
+    """Lists without the hot ones whose sets' budgets all allow it, with those sets' one-deletion keys instead."""
     hot = left.where(F.col("size") > hot_group).select("sig", "sid")
     per = hot.groupBy("sid").agg(F.collect_set("sig").alias("hot"))  # at most two bands' segments of a set
     src = docs.join(per.join(reps, "sid"), docs.doc_id == F.col("rep")).select("sid", "text", "hot")
@@ -248,7 +283,8 @@ def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: B
 
     keys = C.spill(src.mapInArrow(run, "sig long, sid long, enough boolean").distinct(), "deletions", 200)
     free = keys.where("enough").select("sid").distinct().withColumn("free", F.lit(True))
-    stay = left.join(free, "sid", "left").where(~(F.coalesce("free", F.lit(False)) & (F.col("size") > hot_group))).select("sig", "sid", "comp", *TRAITS)
+    relieved = hot.join(free, "sid", "left").groupBy("sig").agg(F.min(F.coalesce("free", F.lit(False))).alias("all")).where("all").select("sig")
+    stay = left.join(relieved, "sig", "left_anti").select("sig", "sid", "comp", *TRAITS)
     known = left.select("sid", "comp", *TRAITS).dropDuplicates(["sid"])
     return stay.unionByName(keys.select("sig", "sid").join(known, "sid"))
 
