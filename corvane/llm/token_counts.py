@@ -91,11 +91,10 @@ class Counted:
         self.encoded = 0
 
     def _leaves(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.enc.known
-        new = {p for p in pieces if p not in known}
-        found = self.enc.learn(sorted(new)) if new else {}
+        self.enc.learn(pieces)
         n = len(pieces)
-        return np.fromiter(map(len, pieces), np.int64, n), np.fromiter(((len(known.get(p) or found[p]) // 4) for p in pieces), np.int64, n)
+        bytes_of = map(len, map(self.enc.known.__getitem__, pieces))
+        return np.fromiter(map(len, pieces), np.int64, n), np.fromiter(bytes_of, np.int64, n) // 4
 
     @property
     def n_tokens(self) -> int:

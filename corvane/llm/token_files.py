@@ -143,25 +143,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.room, self.known = room, {}
+        self.room, self.known = room, _Known()
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        new = list(pieces)
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, coded)}
+    def learn(self, pieces: list[str]) -> None:
+        """Makes known what wasn't. New pieces are encoded as lines of one text, where they can't touch each other."""
+        known = self.known
+        new = [p for p in set(pieces) if p not in known]
+        self.known.more = found = {}
+        if not new:
+            return
+        lines = [p for p in new if not p.isspace() and "\n" not in p]
+        if len(self.line) == 1 and lines:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line[0])
+            if len(ends) == len(lines) - 1:
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(lines, [*(ends * 4).tolist(), len(raw)]):
+                    found[p] = raw[at:e]
+                    at = e + 4
+        rest = [p for p in new if p not in found]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            found[p] = np.array(e.ids, "<u4").tobytes()
         if len(self.known) < self.room:
             self.known.update(found)
-        return found
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit words."""
+        cut = [self.PIECE.findall(t or "") for t in texts]
+        self.learn([p for pieces in cut for p in pieces])
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
 
     def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit words."""
-        pieces = self.PIECE.findall(text or "")
-        known = self.known
-        new = {p for p in pieces if p not in known}
-        if new:
-            found = self.learn(sorted(new))
-            return b"".join([known.get(p) or found[p] for p in pieces])
-        return b"".join(map(known.__getitem__, pieces))
+        return self.many([text])[0]
+
+
+class _Known(dict):
+    """Pieces that are remembered, and for now those of the texts at hand."""
+
+    more: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.more[piece]
+
+
+#: Characters of texts that are encoded together.
+TOGETHER = 400_000
+
+
+def encoded(enc: Encoder, batches):
+    """(document id, ids) of Arrow batches of document ids and texts, a few texts at a time."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for d, t in zip(b.column(0), b.column(1)):
+            ids.append(d.as_py())
+            texts.append(t.as_py())
+            size += len(texts[-1] or "")
+            if size >= TOGETHER:
+                yield from zip(ids, enc.many(texts))
+                ids, texts, size = [], [], 0
+    yield from zip(ids, enc.many(texts))
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -185,16 +227,14 @@ def _write(tokenizer, end_id: int, segment_ids: int):
             ids = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([total], pa.int64()), pa.array([pack(docs, lengths, ids)], pa.binary())], names=["shard", "seq", "n_docs", "n_ids", "image"])
 
-        for b in batches:
-            for d, t in zip(b.column(0), b.column(1)):
-                coded = enc(t.as_py()) + end
-                docs.append(d.as_py())
-                lengths.append(len(coded) // 4)
-                parts.append(coded)
-                total += lengths[-1]
-                if total >= segment_ids:
-                    yield flush()
-                    docs, lengths, parts, total, seq = [], [], [], 0, seq + 1
+        for d, ids in encoded(enc, batches):
+            docs.append(d)
+            lengths.append(len(ids) // 4 + 1)
+            parts += (ids, end)
+            total += lengths[-1]
+            if total >= segment_ids:
+                yield flush()
+                docs, lengths, parts, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield flush()
 
