@@ -40,14 +40,15 @@ class Bands:
         while self.start[-1] < 1 << 40:
             self.start.append(self.start[-1] * den // num + 1)
         # |R| + |S| - 2I with I >= num/(num+den) (|R|+|S|) for Jaccard >= num/den
-        self.segments = [(self.start[i + 1] + self.start[i + 2] - 2) * (den - num) // (den + num) + 1 for i in range(len(self.start) - 2)]
+        most = [(self.start[i + 1] + self.start[i + 2] - 2) * (den - num) // (den + num) + 1 for i in range(len(self.start) - 2)]
+        self.segments = [n + n // 8 + 1 for n in most]  # some to spare, since empty ones aren't used
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.start, n, side="right")) - 1
 
     def parts(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, segments, first so many that are used) under which a set of n elements is indexed: its own band, and the
-        next lower it probes. Of a pair both use at least one more than the differences that its sizes allow."""
+        """(band, segments, how many are used) under which a set of n elements is indexed: its own band, and the next lower
+        it probes. Of a pair both use at least one more than the differences that its sizes allow."""
         b = self.of(n)
         most = {b: n * self.den // self.num, b - 1: self.start[b] - 1}
         return [(i, self.segments[i], (n + most[i]) * (self.den - self.num) // (self.den + self.num) + 1) for i in (b, b - 1) if i >= 0]
@@ -64,12 +65,19 @@ def tag(band: int, m: int, kind: int = 0) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The exact signatures of the segments used under each band of s. With one, only equal sets link: none is needed."""
+    """The exact signatures of the segments used under each band of s: the first ones that aren't empty.
+
+    Of a linked pair take the set whose last used segment comes first: of its segments one at least equals the other
+    set's, isn't empty, and so is used there too. A set with too few non-empty segments uses all, empty ones as well. If
+    one is enough, only equal sets link, and none is needed.
+    """
     out, cs = [], np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(s), dtype=np.uint64)))
     for band, m, used in bands.parts(len(s)):
         if used > 1:
             c = cuts(s, m)
-            out.append(C.mix(cs[c[1:]] - cs[c[:-1]] + tag(band, m))[:used])
+            g = C.mix(cs[c[1:]] - cs[c[:-1]] + tag(band, m))
+            full = np.flatnonzero(np.diff(c))
+            out.append(g[full[:used]] if len(full) >= used else g)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -85,14 +93,15 @@ def neighbourhood(s: np.ndarray, bands: Bands, hot: set[int]) -> tuple[list[np.n
     for band, m, used in bands.parts(len(s)):
         if used < 2:
             continue
-        c = cuts(s, m)[: used + 1]
-        m = used
+        c = cuts(s, m)
         whole = cs[c[1:]] - cs[c[:-1]]
+        full = np.flatnonzero(np.diff(c))
+        mine = full[:used] if len(full) >= used else np.arange(m)
         is_hot = np.isin(C.signed(C.mix(whole + tag(band, m))), np.fromiter(hot, np.int64, len(hot)))
-        a = int(is_hot.sum())
+        a = int(is_hot[mine].sum())
         if not a:
             continue
-        enough &= 2 * a <= m
+        enough &= 2 * a <= len(mine)
         seg = np.repeat(np.arange(m), np.diff(c))
         keep = ~is_hot
         out.append(C.mix(whole + tag(band, m, 1))[keep])
