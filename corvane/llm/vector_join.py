@@ -1,8 +1,8 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison (operator 7).
 
-Unit vectors are turned into the axes of their second moments, largest first, which keeps products. Sorted by cells of
-the two leading axes, they are packed into tiles with bounds on their leading coordinates; tiles whose bounds lie too far
-apart for the threshold never meet. In a pair of tiles the products of the leading axes are summed first; what the rest
+Unit vectors are turned into the axes of their second moments, largest first, which keeps products. By cells
+of the two leading axes they are packed into tiles of about TILE, with bounds on their leading coordinates; tiles whose
+bounds lie too far apart for the threshold never meet. In a pair of tiles the products of the leading axes are summed first; what the rest
 can add is at most the product of suffix norms, so pairs that can't reach the threshold stop there.
 
 Equal vectors are one, with a count. A pair of tiles gives each vector's number of links and its root in that pair's
@@ -15,8 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -95,36 +94,11 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _pack(turn, cell: float):
-    def run(batches):
-        t = turn.value
-        base, seq = TaskContext.get().partitionId() << 32, 0
-        ids, counts, rows, at = [], [], [], None
-
-        def flush():
-            y = np.concatenate(rows)
-            return pa.RecordBatch.from_pydict({"tile": [base + seq], "c1": pa.array([at[0]], pa.int32()), "c2": pa.array([at[1]], pa.int32()), "lo": [y[:, :BOX].min(axis=0).tolist()], "hi": [y[:, :BOX].max(axis=0).tolist()], "ids": [np.concatenate(ids).tobytes()], "counts": [np.concatenate(counts).tobytes()], "items": [y.tobytes()]})
-
-        for b in batches:
-            y = unit(matrix(b.column(2))) @ t
-            cells = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
-            bi, bc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            k = 0
-            while k < len(cells):
-                held = sum(map(len, rows))
-                if rows and (cells[k] != at or held >= TILE):
-                    yield flush()
-                    ids, counts, rows, seq, held = [], [], [], seq + 1, 0
-                at = cells[k]
-                e = k
-                while e < len(cells) and cells[e] == at and e - k < TILE - held:
-                    e += 1
-                ids.append(bi[k:e])
-                counts.append(bc[k:e])
-                rows.append(y[k:e])
-                k = e
-        if rows:
-            yield flush()
+def _pack(turn):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        y = unit(matrix(t["embedding"])) @ turn.value
+        return pa.table({"tile": t["tile"][:1], "c1": t["c1"][:1], "c2": t["c2"][:1], "lo": [y[:, :BOX].min(axis=0).tolist()], "hi": [y[:, :BOX].max(axis=0).tolist()], "ids": [t["rep"].to_numpy().tobytes()], "counts": [t["c"].to_numpy().tobytes()], "items": [y.tobytes()]})
 
     return run
 
@@ -133,9 +107,9 @@ def _cells(turn, cell: float):
     def run(batches):
         t = turn.value
         for b in batches:
-            y = unit(matrix(b.column(2))) @ t[:, :3] if b.num_rows else np.zeros((0, 3))
+            y = unit(matrix(b.column(2))) @ t[:, :2] if b.num_rows else np.zeros((0, 2))
             c = np.floor(y / cell).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c[:, 0]), pa.array(c[:, 1] if y.shape[1] > 1 else c[:, 0] * 0), pa.array(y[:, -1])], names=["rep", "c", "embedding", "c1", "c2", "y3"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c[:, 0]), pa.array(c[:, 1] if y.shape[1] > 1 else c[:, 0] * 0)], names=["rep", "c", "embedding", "c1", "c2"])
 
     return run
 
@@ -198,8 +172,10 @@ def _found(groups: DataFrame, d: int, least: float) -> DataFrame:
     spark = groups.sparkSession
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9  # unit vectors of that cosine are no farther apart
     turn = spark.sparkContext.broadcast(axes(moments(groups, d)))
-    placed = groups.mapInArrow(_cells(turn, reach), "rep long, c long, embedding array<double>, c1 int, c2 int, y3 double")
-    tiles = C.spill(placed.repartitionByRange("c1", "c2", "y3").sortWithinPartitions("c1", "c2", "y3", "rep").mapInArrow(_pack(turn, reach), TILE_SCHEMA), "tiles")
+    placed = C.spill(groups.mapInArrow(_cells(turn, reach), "rep long, c long, embedding array<double>, c1 int, c2 int"), "placed")
+    cells = placed.groupBy("c1", "c2").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TILE))).alias("parts"))
+    dealt = placed.join(cells, ["c1", "c2"]).withColumn("tile", F.xxhash64("c1", "c2", F.pmod(F.xxhash64("rep"), "parts")))
+    tiles = C.spill(dealt.select("tile", "c1", "c2", "rep", "c", "embedding").groupBy("tile").applyInArrow(_pack(turn), TILE_SCHEMA), "tiles")
     spot = tiles.select("tile", "c1", "c2", "lo", "hi")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     left = spot.select(F.col("tile").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(near).alias("d1"), "c1", "c2").select("a", "alo", "ahi", (F.col("c1") + F.col("d1")).alias("c1"), F.explode(near).alias("d2"), "c2").select("a", "alo", "ahi", "c1", (F.col("c2") + F.col("d2")).alias("c2"))
