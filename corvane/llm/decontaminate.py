@@ -138,6 +138,18 @@ def _match(blocks, error: float):
     return run
 
 
+def _blocks(benchmark: DataFrame):
+    """The items of benchmark in order, in blocks of about BLOCK_BYTES; one at least."""
+    block, size = [], 0
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
+        if size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((row[0], row[1]))
+        size += len((row[1] or "").encode("utf-8", "replace"))
+    yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.08) -> DataFrame:
     """doc_id, item_id, distance: items of benchmark (item_id, text) in whole texts of docs (doc_id, text), within budget.
 
@@ -148,39 +160,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.08) ->
     C.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    block, size = [], 0
-    shape = "doc_id long, item_id long, distance int"
+    for items in _blocks(benchmark):
+        made = docs.mapInArrow(_match(spark.sparkContext.broadcast([items]), error), "doc_id long, item_id long, distance int")
+        out = made if out is None else out.unionByName(made)
+    return out
 
-    def plan(items):
-        made = docs.mapInArrow(_match(spark.sparkContext.broadcast([items]), error), shape)
-        return made if out is None else out.unionByName(made)
 
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len((row[1] or "").encode("utf-8", "replace"))
-        if size >= BLOCK_BYTES:
-            out, block, size = plan(block), [], 0
-    return plan(block) if block or out is None else out
+def _clean(items, at: int, error: float):
+    def run(batches):
+        m = Matcher(items.value, error)
+        for b in batches:
+            yield b.filter(pa.array([not m(None if t is None else t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error: float = 0.08) -> DataFrame:
     """The rows of docs in whose text no item occurs within its budget, with all columns; decided within the row.
 
-    A stage of a pipeline: it deals nothing out, since each task has the whole benchmark. Benchmarks of over BLOCK_BYTES
-    are refused here; contaminated() takes them in blocks.
+    A stage of a pipeline: it deals nothing out, since each task has a whole block of the benchmark. A benchmark of more
+    than one block goes block by block over what the one before has left, written to the shared folder in between, so
+    that a task holds one automaton at a time.
     """
     spark = docs.sparkSession
     C.ship(spark)
-    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    if size > BLOCK_BYTES:
-        raise ValueError(f"{size} bytes of benchmark; a stage takes {BLOCK_BYTES}")
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()]
-    shared = spark.sparkContext.broadcast(items)
-    at = docs.columns.index("text")
-
-    def run(batches):
-        m = Matcher(shared.value, error)
-        for b in batches:
-            yield b.filter(pa.array([not m(None if t is None else t.as_py()) for t in b.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    at, out, before = docs.columns.index("text"), None, None
+    for items in _blocks(benchmark):
+        if out is not None:
+            left = C.spill(out, "clean")
+            if before is not None:
+                C.discard(before)
+            docs = before = left
+        out = docs.mapInArrow(_clean(spark.sparkContext.broadcast(items), at, error), docs.schema)
+    return out

@@ -50,6 +50,20 @@ def test_decontamination(spark):
     assert D.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_benchmark_in_blocks(spark, monkeypatch):
+    """A benchmark of more than one block is taken whole by both, with the same documents."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 40)
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    items = [(i, say(3)) for i in range(9)] + [(20, None)]
+    rows = [(i, f"{say(4)} {items[i][1] if i < 9 else say(3)} {say(4)}", f"k{i}") for i in range(14)] + [(30, None, "n")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, key string"), spark.createDataFrame(items, "item_id long, text string")
+    got = D.clean(docs, bench)
+    assert len(list(D._blocks(bench))) > 3 and got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r for r in rows if r[0] > 8), key=lambda r: r[0])
+    assert {r["doc_id"] for r in D.contaminated(docs, bench).collect()} == set(range(9))
+
+
 def test_html(spark):
     tree = H.train()
     cases = {
