@@ -2,7 +2,8 @@
 
 A document is kept as a segment tree over its pre-tokens: leaves hold a pre-token's length in characters and number of
 tokens, inner nodes the sums below them. An edit descends by characters to the pre-tokens it touches. Pre-tokens that end
-at least CONTEXT characters before it can't change, since a pre-token is settled by its own characters and that many more;
+at least CONTEXT characters before it, or before an added token that it breaks or completes, can't change, since a
+pre-token is settled by its own characters, that many more and the added tokens after it;
 from there the text is cut anew until a cut falls on an old one beyond the edit, after which all is as it was. Only the
 new pre-tokens are encoded, the leaves between are replaced, and the sums above them renewed.
 """
@@ -86,7 +87,7 @@ class Counted:
 
     def __init__(self, text: str | None, enc: Encoder):
         self.text, self.enc = text or "", enc
-        pieces = enc.PIECE.findall(self.text)
+        pieces = enc.cutter(self.text).findall(self.text)
         self.tree = Tree(*self._leaves(pieces))
         self.encoded = 0
 
@@ -107,14 +108,19 @@ class Counted:
         old, tree = self.text, self.tree
         self.text = old[:start] + inserted + old[end:]
         shift = len(self.text) - len(old)
-        chunk, leaf, at = tree.find(max(0, start - CONTEXT))
+        back = start
+        if self.enc.added:  # an added token that the edit breaks or completes ends pieces where it starts
+            for text in (old, self.text):
+                m = self.enc.added.search(text, max(0, start - self.enc.longest + 1), start + self.enc.longest - 1)
+                back = min(back, m.start()) if m else back
+        chunk, leaf, at = tree.find(max(0, back - CONTEXT))
         first, pieces, pos = (chunk, leaf), [], at
         edited = start + len(inserted)
         if not old:
-            pieces, last = self.enc.PIECE.findall(self.text), (0, 0)
+            pieces, last = self.enc.cutter(self.text).findall(self.text), (0, 0)
         else:
             last = None
-            for m in self.enc.PIECE.finditer(self.text, at):
+            for m in self.enc.cutter(self.text).finditer(self.text, at):
                 if m.start() >= edited and m.start() - shift < len(old):
                     c, k, s = tree.find(m.start() - shift)
                     if s == m.start() - shift:

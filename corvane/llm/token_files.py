@@ -132,8 +132,9 @@ class Encoder:
     """Ids of texts from a tokenizers file, remembering pieces that come again.
 
     Where a single space or line end stands between characters that aren't white space, a byte-level tokenizer's
-    pre-tokens start anew, so that pieces between such places can be encoded alone. Pieces are remembered up to `room`;
-    those beyond are encoded each time they come.
+    pre-tokens start anew, so that pieces between such places can be encoded alone. An added token of the file, such as
+    <|endoftext|>, is a piece wherever a text has it, and what stands on either side ends there, as in the library.
+    Pieces are remembered up to `room`; those beyond are encoded each time they come.
     """
 
     PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -142,10 +143,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.longest = len(added[0]) if added else 0
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        if added:
+            a = self.added.pattern
+            self.mixed = re.compile(rf"{a}| ?(?:(?!{a})\S)+|(?:(?!{a})\s)+(?={a}|(?!\S))|(?:(?!{a})\s)+")
         self.room, self.known = room, _Known()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
+    def cutter(self, text: str) -> re.Pattern:
+        """What finds the pieces of the text: PIECE, unless an added token is in it."""
+        return self.mixed if self.added and self.added.search(text) else self.PIECE
+
     def learn(self, pieces: list[str]) -> None:
         """Makes known what wasn't. New pieces are encoded as lines of one text, where they can't touch each other."""
         known = self.known
@@ -170,7 +180,7 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words."""
-        cut = [self.PIECE.findall(t or "") for t in texts]
+        cut = [self.cutter(t or "").findall(t or "") for t in texts]
         self.learn([p for pieces in cut for p in pieces])
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]

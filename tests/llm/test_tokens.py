@@ -82,3 +82,28 @@ def test_count_tokens(spark, bpe):
     n = len(T.Encoder(bpe).tokenizer.encode("one 2 three").ids)
     assert got == sorted([(1, 3, n), (2, 0, 1), (None, 0, 1), (1, 3, n)], key=repr)
     assert count_tokens(df.limit(0), bpe).count() == 0
+
+
+def fresh():
+    """The tokenizer as the library reads it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_added_tokens_are_the_librarys(bpe):
+    end, e, plain, rng = "<|endoftext|>", T.Encoder(bpe), fresh(), random.Random(6)
+    assert np.frombuffer(e("x" + end), "<u4").tolist() == plain.encode("x" + end, add_special_tokens=False).ids == [87, 50256]
+    parts = [end, end, end[:5], end[5:], " ", "  ", "\n", "\n\n", "a", "it's", "<", "<|", "1", "日", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    for t, ids in zip(texts, e.many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    for ref in texts[:400]:
+        d = Counted(ref, e)
+        for _ in range(6):
+            s, n, ins = rng.randint(0, len(ref)), rng.choice([0, 1, 4]), "".join(rng.choice(parts + ["t|>", "<|endo"]) for _ in range(rng.choice([0, 1, 3])))
+            ref = ref[:s] + ins + ref[min(s + n, len(ref)) :]
+            d.edit(s, n, ins)
+            assert d.text == ref and d.n_tokens == len(plain.encode(ref, add_special_tokens=False).ids)
+            assert d.tree.n_leaves == len(e.cutter(ref).findall(ref)) and d.tree.n_chars == len(ref)
