@@ -137,7 +137,9 @@ class Encoder:
     Pieces are remembered up to `room`; those beyond are encoded each time they come.
     """
 
-    PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+    WHITE, DARK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"  # the tokenizer's \s and \S; Python's \s has \x1c-\x1f as well
+    PIECE = re.compile(rf" ?{DARK}+|{WHITE}+(?!{DARK})|{WHITE}+")
+    BLANK = re.compile(rf"{WHITE}+")
 
     def __init__(self, tokenizer_json: str, room: int = 800_000):
         from tokenizers import Tokenizer
@@ -148,7 +150,8 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         if added:
             a = self.added.pattern
-            self.mixed = re.compile(rf"{a}| ?(?:(?!{a})\S)+|(?:(?!{a})\s)+(?={a}|(?!\S))|(?:(?!{a})\s)+")
+            w, d = rf"(?:(?!{a}){self.WHITE})+", rf"(?:(?!{a}){self.DARK})+"
+            self.mixed = re.compile(rf"{a}| ?{d}|{w}(?={a}|(?!{self.DARK}))|{w}")
         self.room, self.known = room, _Known()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -163,7 +166,7 @@ class Encoder:
         self.known.more = found = {}
         if not new:
             return
-        lines = [p for p in new if not p.isspace() and "\n" not in p]
+        lines = [p for p in new if "\n" not in p and not self.BLANK.fullmatch(p)]
         if len(self.line) == 1 and lines:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.line[0])

@@ -107,3 +107,19 @@ def test_added_tokens_are_the_librarys(bpe):
             d.edit(s, n, ins)
             assert d.text == ref and d.n_tokens == len(plain.encode(ref, add_special_tokens=False).ids)
             assert d.tree.n_leaves == len(e.cutter(ref).findall(ref)) and d.tree.n_chars == len(ref)
+
+
+def test_white_space_is_the_tokenizers(bpe):
+    e, plain, rng = T.Encoder(bpe), fresh(), random.Random(7)
+    assert np.frombuffer(e("a\n\n\x1cb"), "<u4").tolist() == plain.encode("a\n\n\x1cb", add_special_tokens=False).ids == [64, 198, 198, 216, 65]
+    parts = ["a", "1", "'s", ".", " ", " ", "\n", "\n", "\r", "\t", *map(chr, range(0x1B, 0x20)), "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(8000)]
+    for t, ids in zip(texts, e.many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    for ref in texts[:300]:
+        d = Counted(ref, e)
+        for _ in range(4):
+            s, n, ins = rng.randint(0, len(ref)), rng.choice([0, 1, 4]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 3])))
+            ref = ref[:s] + ins + ref[min(s + n, len(ref)) :]
+            d.edit(s, n, ins)
+            assert d.n_tokens == len(plain.encode(ref, add_special_tokens=False).ids)
