@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .common import U
 
-MEMBER = "doc_id long, n_shingles long, sid long, parity array<long>"
+MEMBER = "doc_id long, n_shingles long, sid long, parity array<long>, digest long"
 FILTER_BITS = 26  # the filter of shared signatures has 2^26 bits, whatever the corpus; when full it lets all pass
 WORDS = 8  # 64-bit words of parity
 TRAITS = ["n", *(f"p{i}" for i in range(WORDS))]
@@ -142,7 +142,7 @@ def _members(k: int):
                 ns.append(len(s))
                 sids.append(sid_of(s.tobytes()))
                 odd.append(C.signed(parity(s)).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sid", "parity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(odd, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n_shingles", "sid", "parity", "digest"])
 
     return run
 
@@ -207,17 +207,18 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot_group: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot_group: int = 4096, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text); links are Jaccard >= num/den of k-word shingles.
 
     A null or blank text has the empty set, links with nothing and is its own component. Repeated rows of one doc_id give
     one row each. Columns besides doc_id and text are not read. A null doc_id gives a row with a null component.
+    With extra ("digest",) there is also xxhash64 of the text, which tells rows of one doc_id apart.
     """
     C.ship(docs.sparkSession)
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = C.spill(docs.mapInArrow(_members(k), MEMBER), "members", 1000)
-    members = made.select("doc_id", "n_shingles", "sid")
+    made = C.spill(docs.withColumn("digest", F.xxhash64("text")).mapInArrow(_members(k), MEMBER), "members", 1000)
+    members = made.select("doc_id", "n_shingles", "sid", *extra)
     reps = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
 
     # signatures are made twice rather than kept: nearly all are of one set, and what is shared is told by a small filter
@@ -268,7 +269,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         leaders *= 16
     roots = reps.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
     ids = roots.join(roots.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("sid", "component_id")
-    out = C.spill(members.join(ids, "sid", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id")), "classes")
+    out = C.spill(members.join(ids, "sid", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"), *extra), "classes")
     C.discard(made, *done)
     return out
 
@@ -301,8 +302,9 @@ def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: B
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without those that link to a document of lesser doc_id, directly or by others.
 
-    Of rows that share a doc_id those of one text stay together. Rows of a null doc_id or without words stay.
+    Rows that share a doc_id are told apart by their texts; those of one text stay or go together. Rows of a null doc_id
+    or without words stay.
     """
-    classes = jaccard_components(docs, **options)
-    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id_, "left_anti")
+    classes = jaccard_components(docs, extra=("digest",), **options)
+    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id_"), F.col("digest").alias("gone_digest_")).distinct()
+    return docs.join(gone, (docs.doc_id == gone.gone_id_) & (F.xxhash64(docs.text.cast("string")) == gone.gone_digest_), "left_anti")

@@ -79,6 +79,13 @@ def test_empty_and_extra_columns(spark):
     assert kept.columns == df.columns and sorted(r["component_id"] for r in kept.collect()) == [3, 5]
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = "a b c d e f g", "q r s t u v w"
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b.upper()), (7, None), (7, "q x"), (None, a)]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(3, a), (5, b), (5, b), (7, None), (7, "q x"), (None, a)], key=repr)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (20, 20), (30, 31), (31, 32), (32, 30), (3, 40)]
     got = dict(map(tuple, C.components(spark.createDataFrame(edges, "a long, b long")).collect()))
