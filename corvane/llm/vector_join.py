@@ -96,7 +96,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _pack(turn):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
+        t = t.sort_by([("least", "ascending"), ("rep", "ascending")])
         y = unit(matrix(t["embedding"])) @ turn.value
         return pa.table({"tile": t["tile"][:1], "c1": t["c1"][:1], "c2": t["c2"][:1], "lo": [y[:, :BOX].min(axis=0).tolist()], "hi": [y[:, :BOX].max(axis=0).tolist()], "ids": [t["rep"].to_numpy().tobytes()], "counts": [t["c"].to_numpy().tobytes()], "items": [y.tobytes()]})
 
@@ -109,7 +109,7 @@ def _cells(turn, cell: float):
         for b in batches:
             y = unit(matrix(b.column(2))) @ t[:, :2] if b.num_rows else np.zeros((0, 2))
             c = np.floor(y / cell).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c[:, 0]), pa.array(c[:, 1] if y.shape[1] > 1 else c[:, 0] * 0)], names=["rep", "c", "embedding", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(c[:, 0]), pa.array(c[:, 1] if y.shape[1] > 1 else c[:, 0] * 0)], names=["rep", "c", "embedding", "least", "c1", "c2"])
 
     return run
 
@@ -147,23 +147,24 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     base = vectors.select(F.col("vec_id").cast("long"), e.alias("embedding"))
     fair = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))) & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     valid = base.where(fair)
-    groups = C.spill(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("c")).select("rep", "c", "embedding"), "vectors")
+    groups = C.spill(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("c")).select(F.monotonically_increasing_id().alias("rep"), "c", "embedding", "least"), "vectors")  # rep names a group, once written
     found = []
     for (d,) in groups.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).toLocalIterator():
         mine = groups.where(F.size("embedding") == d)
         found.append(_found(mine, d, least))
-    members = base.join(groups.select(F.col("embedding").alias("e"), "rep", "c"), fair & (F.col("embedding") == F.col("e")), "left").select("vec_id", "rep", "c")
+    members = base.join(groups.select(F.col("embedding").alias("e"), "rep", "c", "least"), fair & (F.col("embedding") == F.col("e")), "left").select("vec_id", "rep", "c", F.col("least").alias("own"))
     if found:
         all_ = found[0]
         for f in found[1:]:
             all_ = all_.unionByName(f)
         links = all_.groupBy("node").agg(F.sum("links").alias("links"))
         comps = C.components(all_.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        known = C.spill(links.join(comps, "node", "left"), "known")
+        named = comps.join(groups.select(F.col("rep").alias("node"), "least"), "node").groupBy("comp").agg(F.min("least").alias("first"))
+        known = C.spill(links.join(comps, "node", "left").join(named, "comp", "left").select("node", "links", "first"), "known")
         members = members.join(known, F.col("rep") == F.col("node"), "left")
     else:
-        members = members.withColumns({"links": F.lit(0).cast("long"), "comp": F.lit(None).cast("long")})
-    comp = F.coalesce("comp", "rep", "vec_id")
+        members = members.withColumns({"links": F.lit(0).cast("long"), "first": F.lit(None).cast("long")})
+    comp = F.coalesce("first", "own", "vec_id")
     return members.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("c") - 1, F.lit(0))).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
 
 
@@ -172,10 +173,10 @@ def _found(groups: DataFrame, d: int, least: float) -> DataFrame:
     spark = groups.sparkSession
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9  # unit vectors of that cosine are no farther apart
     turn = spark.sparkContext.broadcast(axes(moments(groups, d)))
-    placed = C.spill(groups.mapInArrow(_cells(turn, reach), "rep long, c long, embedding array<double>, c1 int, c2 int"), "placed")
+    placed = C.spill(groups.mapInArrow(_cells(turn, reach), "rep long, c long, embedding array<double>, least long, c1 int, c2 int"), "placed")
     cells = placed.groupBy("c1", "c2").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TILE))).alias("parts"))
-    dealt = placed.join(cells, ["c1", "c2"]).withColumn("tile", F.xxhash64("c1", "c2", F.pmod(F.xxhash64("rep"), "parts")))
-    tiles = C.spill(dealt.select("tile", "c1", "c2", "rep", "c", "embedding").groupBy("tile").applyInArrow(_pack(turn), TILE_SCHEMA), "tiles")
+    dealt = placed.join(cells, ["c1", "c2"]).withColumn("tile", F.xxhash64("c1", "c2", F.pmod(F.xxhash64("embedding"), "parts")))
+    tiles = C.spill(dealt.select("tile", "c1", "c2", "rep", "c", "embedding", "least").groupBy("tile").applyInArrow(_pack(turn), TILE_SCHEMA), "tiles")
     spot = tiles.select("tile", "c1", "c2", "lo", "hi")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     left = spot.select(F.col("tile").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(near).alias("d1"), "c1", "c2").select("a", "alo", "ahi", (F.col("c1") + F.col("d1")).alias("c1"), F.explode(near).alias("d2"), "c2").select("a", "alo", "ahi", "c1", (F.col("c2") + F.col("d2")).alias("c2"))

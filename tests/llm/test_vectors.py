@@ -40,6 +40,14 @@ def test_small_tiles(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, 0.9)
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    """A near copy of 3 and another vector have the id 5; the near copy of the latter isn't drawn into the class of 3."""
+    e = [[1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.05], [0.0, 0.0, 1.0]]
+    rows = [(3, e[0]), (5, e[1]), (5, e[2]), (7, e[3]), (7, e[4])]
+    got = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 0.95) == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (7, 0, 7, True), (7, 1, 5, False)]
+
+
 def test_none_valid(spark):
     assert V.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     got = V.near_duplicates(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>"))
