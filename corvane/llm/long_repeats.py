@@ -4,8 +4,8 @@ A string of `length` bytes that starts in two places has in both, at the same of
 least hash in it. So only places whose anchor gram occurs elsewhere can hold such a string, and all that share one are
 compared through the text about them, the contexts. Contexts that are equal need no comparison. The rest are dealt by gram
 to shards of bounded size, and each shard is indexed: its Burrows-Wheeler transform in runs, with the text position and the
-common prefix with the suffix above sampled at each run's start. Within a run, the prefix shrinks by one a step, so one pass
-over the text streams every position's longest match from those samples; positions with long enough ones are marked.
+common prefix with the suffix above sampled at each run's start, and with the suffix below at its end. Within a run, the
+prefix shrinks by one a step, so a pass over the text for either streams every position's longest match; positions with long enough ones are marked.
 
 Two contexts that match long enough agree on half of it either before or after the anchor; where a gram has more than a few
 contexts, only those that agree so meet. If they are more than `block`, their shards are pairs of blocks, so that every two
@@ -113,28 +113,32 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 class RunIndex:
-    """A text's Burrows-Wheeler transform in runs, with samples at their starts."""
+    """Samples of a text's Burrows-Wheeler transform at the starts and ends of its runs; their number bounds the index."""
 
     def __init__(self, text: np.ndarray):
         self.text, self.n = text, len(text)
         sa = suffix_array(text)
         bwt = np.where(sa > 0, text[sa - 1], 0)
         first = np.concatenate(([True], bwt[1:] != bwt[:-1])) | (sa == 0)
+        first[1:] |= sa[:-1] == 0  # the text's start is a run by itself
         starts = np.flatnonzero(first)
-        self.runs, self.starts = bwt[starts], starts
-        self.samples = sa[starts]  # text positions at run starts
-        above = np.where(starts > 0, sa[starts - 1], 0)
-        self.prefixes = np.where(starts > 0, common_prefixes(text, self.samples, above), 0)
-        self.sa = sa
+        ends = np.append(starts[1:], self.n) - 1
+        self.starts, self.ends = sa[starts], sa[ends]  # text positions
+        self.above = np.append(0, common_prefixes(text, self.starts[1:], self.ends[:-1]))  # with the suffix above a start
+        self.below = np.append(self.above[1:], 0)  # with the suffix below an end
+
+    @property
+    def sa(self) -> np.ndarray:
+        """The text's suffix array, made anew; the index doesn't keep it."""
+        return suffix_array(self.text)
 
     def matches(self) -> np.ndarray:
         """For each position of the text, the length of its longest match with any other position."""
-        at = np.zeros(self.n, np.int64)
-        at[self.samples] = self.prefixes + self.samples
-        upper = np.maximum(np.maximum.accumulate(at) - np.arange(self.n), 0)  # with the suffix above
-        out = upper.copy()
-        below = self.sa[:-1]
-        out[below] = np.maximum(out[below], upper[self.sa[1:]])
+        out = np.zeros(self.n, np.int64)
+        for samples, prefixes in ((self.starts, self.above), (self.ends, self.below)):
+            at = np.zeros(self.n, np.int64)
+            at[samples] = prefixes + samples
+            out = np.maximum(out, np.maximum.accumulate(at) - np.arange(self.n))
         return out
 
 

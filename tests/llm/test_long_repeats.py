@@ -71,3 +71,13 @@ def test_equal_windows_have_equal_anchors():
     a, b = (dict(zip(*(x.tolist() for x in R.anchors(t, 400)))) for t in (one, two))
     inside = [p - 200 for p in a if 200 <= p and p + R.GRAM <= 650]
     assert any(p + 77 in b and b[p + 77] == a[p + 200] for p in inside)
+
+
+def test_index_holds_samples_of_runs_alone():
+    rng = np.random.default_rng(9)
+    for text in [rng.integers(0, k, n).astype(np.uint8) for k in (1, 2, 3) for n in (1, 2, 5, 60)] + [np.tile(rng.integers(0, 4, 50), 8).astype(np.uint8)]:
+        index, raw, n = R.RunIndex(text), text.tobytes(), len(text)
+        longest = lambda i: max((k for k in range(n - i + 1) if any(raw.startswith(raw[i : i + k], j) for j in range(n) if j != i)), default=0)
+        assert index.matches().tolist() == [longest(i) for i in range(n)]
+    most = max(len(v) for k, v in vars(index).items() if k != "text" and isinstance(v, np.ndarray))
+    assert n == 400 and most <= 100
