@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -80,6 +81,25 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, f.rpartition("/")[0])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that have been written: it does when its driver drops their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def spilled() -> list[tuple[SparkSession, str]]:
+    """The tables that spill() has written so far."""
+    return list(_MADE)
+
+
+def delete(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes tables of spilled()."""
+    for spark, path in tables:
+        _delete(spark, path)
+        if (spark, path) in _MADE:
+            _MADE.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # an application that has ended has no JVM left to delete with
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

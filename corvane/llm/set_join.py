@@ -3,15 +3,17 @@
 A text is a set of hashed word shingles. Sets are dealt to size bands whose bounds grow by 1/threshold, so that linked sets
 lie in one band or in two neighbours. For a band the universe of hashes is cut into H + 1 segments, H being the largest
 symmetric difference of a linked pair there; such a pair agrees on a whole segment, so equal segment signatures give all
-candidates. The cost of a segment is the length of its signature's list: where a signature is shared by more than
-`hot_group` unlinked sets, the segment is skipped (threshold -1) and the sets that had it spend the saved budget on
-one-deletion neighbourhoods of their cheapest other segments (threshold 1), indexed over all segments of those sets.
-Candidates are verified exactly, on whole sets, from the text.
-
-Only component ids are asked for, so candidates are taken as stars: each set against the leaders of its lists, components
-of the verified links, then only pairs across components, with more leaders each round, until no list spans two
-components. Those are first held against parities of the sets, which show most pairs too far apart within the join. A
-leader has met its whole list and leaves it; no list is collected and no list emits all of its pairs.
+candidates. Candidates are first held against parities of the sets, in 512 bits within the join and in four bits an
+element after it, which show nearly all pairs that are too far apart, and then verified exactly, on whole sets, from the text.
+
+The sets that share a signature are its list; the least of them leads it. Sets of one group share most of their segments,
+so that a pair's many common lists have few leads: pairs are made over leads, not over signatures. Only component ids are
+asked for, so each set first meets its least lead; then only sets of leads that still span components meet, and only across
+components, with more leaders each round, until no lead spans two.
+
+A segment costs what its list costs. A list is too dear where all its pairs cost more than the one-deletion neighbourhoods
+of its sets would: then the segment is skipped (threshold -1), and the sets that had it spend the saved budget on
+one-deletion neighbourhoods of their other segments (threshold 1), indexed over all segments of those sets.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .common import U
 
-MEMBER = "doc_id long, n_shingles long, sid long, parity array<long>, digest long"
-FILTER_BITS = 26  # the filter of shared signatures has 2^26 bits, whatever the corpus; when full it lets all pass
+MEMBER = "doc_id long, n_shingles long, sid long, parity array<long>, sketch binary, digest long"
+#: Bits of the filter of shared signatures are 16 each, between these bounds; a full one lets more pass, which a join sorts out.
+FILTER_BITS = (20, 29)
+#: Rows of deletion keys cost as many parity tests as this.
+KEY_COST = 8
 WORDS = 8  # 64-bit words of parity
 TRAITS = ["n", *(f"p{i}" for i in range(WORDS))]
 
@@ -119,48 +124,63 @@ def sid_of(items: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """A bit for each of 64 * WORDS classes of hashes: whether s has an odd number of them. Two sets differ in at least as
+def parity(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A bit for each of 64 * words classes of hashes: whether s has an odd number of them. Two sets differ in at least as
     many elements as their parities in bits."""
-    odd = np.bincount((s & U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint64) & U(1)
-    return (odd.reshape(WORDS, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    odd = np.bincount((s & U(64 * words - 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & np.uint8(1)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A parity of four to eight bits an element, of a power of two words."""
+    return parity(s, 1 << max(0, (4 * len(s) - 1) // 64).bit_length())
+
+
+def differ(x: np.ndarray, y: np.ndarray) -> int:
+    """A number of elements in which the sets of two sketches differ at least; the longer sketch is folded to the shorter."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def may_link(num: int, den: int) -> F.col:
     """Whether parities leave room for a link between the sets of traits n, p0.. and hn, hp0..: none that links is lost."""
-    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"hp{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("hp0"))))
-    return (differ * (den + num) <= (F.col("n") + F.col("hn")) * (den - num)) & (F.col("n") * den >= F.col("hn") * num) & (F.col("hn") * den >= F.col("n") * num)
+    bits = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"hp{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("hp0"))))
+    return (bits * (den + num) <= (F.col("n") + F.col("hn")) * (den - num)) & (F.col("n") * den >= F.col("hn") * num) & (F.col("hn") * den >= F.col("n") * num)
 
 
 def _members(k: int):
     def run(batches):
         for b in batches:
-            ids, ns, sids, odd = [], [], [], []
+            ids, ns, sids, odd, wide = [], [], [], [], []
             for i, t in zip(b.column(0), b.column(1)):
                 s = set_of(t.as_py(), k)
                 ids.append(i.as_py())
                 ns.append(len(s))
                 sids.append(sid_of(s.tobytes()))
                 odd.append(C.signed(parity(s)).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(odd, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n_shingles", "sid", "parity", "digest"])
+                wide.append(sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.binary()), b.column(2)], names=["doc_id", "n_shingles", "sid", "parity", "sketch", "digest"])
 
     return run
 
 
-def _lists(k: int, bands: Bands, shared=None):
+def _lists(k: int, bands: Bands, shared=None, bits: int = 0):
     """(sig, sid) of all texts; with a filter, of those signatures that it has."""
 
     def run(batches):
-        bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
+        held = None if shared is None else np.frombuffer(shared.value, np.uint8)
         for b in batches:
             sids, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for t in b.column(0):
                 s = set_of(t.as_py(), k)
                 if len(s):
                     g = signatures(s, bands)
-                    if bits is not None:
-                        at = (g & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-                        g = g[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                    if held is not None:
+                        at = (g & U((1 << bits) - 1)).astype(np.int64)
+                        g = g[(held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
                     sigs.append(C.signed(g))
                     sids.append(np.full(len(g), sid_of(s.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
@@ -168,14 +188,15 @@ def _lists(k: int, bands: Bands, shared=None):
     return run
 
 
-def shared_filter(dup: DataFrame) -> bytes:
-    """A bit for each low part of the signatures in dup: a bit array of fixed size, put together by the executors."""
-    at = F.expr(f"pmod(sig, {1 << FILTER_BITS}L) + 1")
-    made = dup.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
-    out = bytearray(1 << FILTER_BITS - 3)
-    for part, bits in made.collect():
-        out[(part - 1) * len(bits) : part * len(bits)] = bits
-    return bytes(out)
+def shared_filter(dup: DataFrame) -> tuple[bytes, int]:
+    """A bit for each low part of the signatures in dup, put together by the executors; and the low part's bits."""
+    bits = min(max(FILTER_BITS[0], (16 * dup.count()).bit_length()), FILTER_BITS[1])
+    at = F.expr(f"pmod(sig, {1 << bits}L) + 1")
+    made = dup.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("at"))
+    out = bytearray(1 << bits - 3)
+    for part, held in made.groupBy("part").agg(F.bitmap_construct_agg("at").alias("held")).toLocalIterator():
+        out[(part - 1) * len(held) : part * len(held)] = held
+    return bytes(out), bits
 
 
 def _sets(k: int):
@@ -189,30 +210,78 @@ def _sets(k: int):
     return run
 
 
-def _verify(num: int, den: int):
+def _against(test):
+    """(a, b) of the pairs that pass test(x, n_x, y, n_y), of rows (b, salt, kind, a, n, data), sorted: the set b comes
+    first (kind 0), then each a that it is to meet."""
+
     def run(batches):
-        for b in batches:
+        left, size = np.zeros(0, np.uint64), 0
+        for batch in batches:
             keep = []
-            last, left = None, None
-            for x, y in zip(b.column("x"), b.column("y")):
-                if x.as_py() != last:
-                    last = x.as_py()
-                    left = np.frombuffer(last, np.uint64)
-                right = np.frombuffer(y.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(left, right), max(len(left) - 1, 0))
-                both = int((left[at] == right).sum()) if len(left) else 0
-                keep.append(den * both >= num * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
+            for kind, n, data in zip(batch.column("kind").to_pylist(), batch.column("n").to_pylist(), batch.column("data")):
+                x = np.frombuffer(data.as_py(), np.uint64)
+                if not kind:
+                    left, size = x, n
+                keep.append(bool(kind) and test(left, size, x, n))
+            on = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(on), batch.column("b").filter(on)], names=["a", "b"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot_group: int = 4096, extra: tuple[str, ...] = ()) -> DataFrame:
+def _near(num: int, den: int):
+    """Whether sketches leave room for a link."""
+    return lambda x, n, y, k: differ(x, y) * (den + num) <= (n + k) * (den - num)
+
+
+def _links(num: int, den: int):
+    """Whether whole sets link."""
+
+    def test(x, n, y, k):
+        at = np.minimum(np.searchsorted(x, y), n - 1)
+        both = int((x[at] == y).sum())
+        return den * both >= num * (n + k - both)
+
+    return test
+
+
+def _met(pairs: DataFrame, data: DataFrame, test, rows: int) -> DataFrame:
+    """The pairs (a, b, salt) that pass the test on data (sid, n, data); b goes once to each salt, not to each pair."""
+    each = pairs.join(data.withColumnRenamed("sid", "a"), "a").select("b", "salt", F.lit(1).alias("kind"), "a", "n", "data")
+    against = pairs.select("b", "salt").distinct().join(data.withColumnRenamed("sid", "b"), "b").select("b", "salt", F.lit(0).alias("kind"), F.col("b").alias("a"), "n", "data")
+    dealt = each.unionByName(against).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+    return C.spill(dealt.mapInArrow(_against(test), "a long, b long").withColumn("salt", _salt()), "met", rows)
+
+
+def _salt():
+    return F.pmod(F.xxhash64("a"), F.lit(64))
+
+
+def _covered(lists: DataFrame) -> DataFrame:
+    """(lead, sid): which sets share a signature with which lead, each once, leads among them."""
+    leads = lists.groupBy("sig").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead <> most").select("sig", "lead")
+    return lists.join(leads, "sig").select("lead", "sid").distinct()
+
+
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after further links (a, b): those are taken between components, each pair once."""
+    if comps is None:
+        return C.components(links)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(comps.select(F.col("node").alias(end), F.col("comp").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    new = C.components(ends.select("a", "b").distinct())
+    known = comps.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    return C.spill(known.unionByName(new.join(comps.select("node"), "node", "left_anti")), "components")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot_group: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text); links are Jaccard >= num/den of k-word shingles.
 
     A null or blank text has the empty set, links with nothing and is its own component. Repeated rows of one doc_id give
     one row each. Columns besides doc_id and text are not read. A null doc_id gives a row with a null component.
-    With extra ("digest",) there is also xxhash64 of the text, which tells rows of one doc_id apart.
+    With extra ("digest",) there is also xxhash64 of the text, which tells rows of one doc_id apart. Lists of more than
+    hot_group sets get one-deletion keys; None decides by cost. Shingles and sets go by 64-bit hashes.
     """
     C.ship(docs.sparkSession)
     bands = Bands(num, den)
@@ -220,63 +289,79 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     made = C.spill(docs.withColumn("digest", F.xxhash64("text")).mapInArrow(_members(k), MEMBER), "members", 1000)
     members = made.select("doc_id", "n_shingles", "sid", *extra)
     reps = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    traits = made.where("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("parity").alias("parity")).select("sid", "n", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)])
 
     # signatures are made twice rather than kept: nearly all are of one set, and what is shared is told by a small filter
     texts = docs.where("doc_id is not null").select("text")
     rows = texts.mapInArrow(_lists(k, bands), "sig long, sid long").repartition("sig")
-    dup = C.spill(rows.groupBy("sig").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead <> most").select("sig", "lead"), "shared", 1000)
-    shared = docs.sparkSession.sparkContext.broadcast(shared_filter(dup))
-    lists = C.spill(texts.mapInArrow(_lists(k, bands, shared), "sig long, sid long").distinct().join(dup, "sig"), "lists", 1000)
-    star = lists.where("sid <> lead").groupBy("sid").agg(F.min("lead").alias("b")).select(F.col("sid").alias("a"), "b")
-    done = [lists, dup]
+    dup = C.spill(rows.groupBy("sig").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead <> most").select("sig"), "shared", 1000)
+    held, bits = shared_filter(dup)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    lists = C.spill(texts.mapInArrow(_lists(k, bands, shared, bits), "sig long, sid long").distinct().join(dup, "sig"), "lists", 1000)
+    C.discard(dup)
+    C.release(docs.sparkSession)
+    sketches = made.where("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("data"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = C.spill(pairs, "pairs")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
-        sets = C.spill(docs.join(need, docs.doc_id == need.rep).select("sid", "text").mapInArrow(_sets(k), "sid long, items binary"), "sets", 200)
-        one = sets.groupBy("sid").agg(F.first("items").alias("items"))
-        both = pairs.join(one.select(F.col("sid").alias("a"), F.col("items").alias("y")), "a").join(one.select(F.col("sid").alias("b"), F.col("items").alias("x")), "b")
-        out = C.spill(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"), "links", 200)
-        C.discard(pairs, sets)
+        """The links among pairs (a, b)."""
+        pairs = C.spill(pairs.withColumn("salt", _salt()), "pairs")
+        near = _met(pairs, sketches, _near(num, den), 2000)
+        need = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
+        sets = docs.join(need, docs.doc_id == need.rep).select("sid", "text").mapInArrow(_sets(k), "sid long, items binary")
+        sets = C.spill(sets.groupBy("sid").agg(F.first("items").alias("data")).select("sid", (F.length("data") / 8).cast("long").alias("n"), "data"), "sets", 200)
+        out = _met(near, sets, _links(num, den), 200).select("a", "b")
+        C.discard(pairs, near, sets)
         return out
 
-    links = check(star)
-    done.append(links)
+    cover = C.spill(_covered(lists).join(traits, "sid"), "cover")
+    leads = cover.where("sid = lead").select("lead", *[F.col(c).alias(f"h{c}") for c in TRAITS])
+    star = cover.groupBy("sid", *TRAITS).agg(F.min("lead").alias("lead")).where("sid <> lead").join(leads, "lead").where(may_link(num, den))
+    links = check(star.select(F.col("sid").alias("a"), F.col("lead").alias("b")))
     comps = C.components(links)
-    traits = made.where("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("parity").alias("parity")).select("sid", "n", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)])
-    leaders, relieved = 64, False
+    C.discard(links)
+    C.release(docs.sparkSession)
+
+    def spanning(key: str, rows: DataFrame) -> DataFrame:
+        """The rows, with their components, whose key has sets of two components or more."""
+        now = rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        mixed = now.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select(key, "size")
+        return C.spill(now.join(mixed, key), "left")
+
+    left = spanning("sig", lists)
+    C.discard(lists, cover)
+    dear = left.join(traits.select("sid", "n"), "sid").groupBy("sig").agg(F.first("size").alias("size"), F.avg("n").alias("n"))
+    dear = dear.where(F.col("size") > (KEY_COST * F.col("n") if hot_group is None else F.lit(hot_group))).select("sig")
+    if not dear.isEmpty():
+        old, left = left, C.spill(_relieve(docs, reps, left, dear, k, bands), "left")
+        C.discard(old)
+    cover = C.spill(_covered(left.select("sig", "sid")).join(traits, "sid"), "cover")
+    C.discard(left)
+    leaders = 64
     while True:
-        now = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        mixed = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("sig", "size")
-        left = now.join(mixed, "sig")
-        left = C.spill(left if relieved else left.join(traits, "sid"), "left")
-        done.append(left)
+        left = spanning("lead", cover)
         if left.isEmpty():
             break
-        if not relieved and not left.where(F.col("size") > hot_group).isEmpty():
-            left = C.spill(_relieve(docs, reps, left, k, bands, hot_group), "left")
-            done.append(left)
-        relieved = True
-        ranked = Window.partitionBy("sig").orderBy(F.xxhash64("sid"), "sid")
-        head = left.select("sig", "sid", "comp", *TRAITS, F.row_number().over(ranked).alias("rn")).where(F.col("rn") <= leaders)
-        head = C.spill(head.select("sig", F.col("sid").alias("h"), F.col("comp").alias("hc"), *[F.col(c).alias(f"h{c}") for c in TRAITS]), "heads")
-        pairs = left.join(head, "sig").where((F.col("comp") != F.col("hc")) & may_link(num, den))
-        links = C.spill(links.unionByName(check(pairs.select(F.greatest("sid", "h").alias("a"), F.least("sid", "h").alias("b")).distinct())), "links")
-        done += [head, links]
-        comps = C.components(links)
-        lists = C.spill(left.drop("comp", "size").join(head.select("sig", F.col("h").alias("sid")), ["sig", "sid"], "left_anti"), "lists")
-        done.append(lists)
+        ranked = Window.partitionBy("lead").orderBy(F.xxhash64("sid"), "sid")
+        head = left.select("lead", "sid", "comp", *TRAITS, F.row_number().over(ranked).alias("rn")).where(F.col("rn") <= leaders)
+        head = C.spill(head.select("lead", F.col("sid").alias("h"), F.col("comp").alias("hc"), *[F.col(c).alias(f"h{c}") for c in TRAITS]), "heads")
+        pairs = left.join(head, "lead").where((F.col("comp") != F.col("hc")) & may_link(num, den))
+        links = check(pairs.select(F.greatest("sid", "h").alias("a"), F.least("sid", "h").alias("b")).distinct())
+        old, comps = comps, _merged(comps, links)
+        rest = C.spill(left.drop("comp", "size").join(head.select("lead", F.col("h").alias("sid")), ["lead", "sid"], "left_anti"), "cover")
+        C.discard(links, head, left, cover)
+        cover = rest
         leaders *= 16
+    C.discard(left, cover)
     roots = reps.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
     ids = roots.join(roots.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("sid", "component_id")
     out = C.spill(members.join(ids, "sid", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"), *extra), "classes")
-    C.discard(made, *done)
+    C.discard(made)
     return out
 
 
-def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: Bands, hot_group: int) -> DataFrame:
-    """Lists without the hot ones whose sets' budgets all allow it, with those sets' one-deletion keys instead."""
-    hot = left.where(F.col("size") > hot_group).select("sig", "sid")
+def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, dear: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """Lists (sig, sid) without the dear ones whose sets' budgets all allow it, with those sets' one-deletion keys instead."""
+    hot = left.join(dear, "sig").select("sig", "sid")
     per = hot.groupBy("sid").agg(F.collect_set("sig").alias("hot"))  # at most two bands' segments of a set
     src = docs.join(per.join(reps, "sid"), docs.doc_id == F.col("rep")).select("sid", "text", "hot")
 
@@ -294,9 +379,8 @@ def _relieve(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, bands: B
     keys = C.spill(src.mapInArrow(run, "sig long, sid long, enough boolean").distinct(), "deletions", 200)
     free = keys.where("enough").select("sid").distinct().withColumn("free", F.lit(True))
     relieved = hot.join(free, "sid", "left").groupBy("sig").agg(F.min(F.coalesce("free", F.lit(False))).alias("all")).where("all").select("sig")
-    stay = left.join(relieved, "sig", "left_anti").select("sig", "sid", "comp", *TRAITS)
-    known = left.select("sid", "comp", *TRAITS).dropDuplicates(["sid"])
-    return stay.unionByName(keys.select("sig", "sid").join(known, "sid"))
+    stay = left.join(relieved, "sig", "left_anti").select("sig", "sid")
+    return stay.unionByName(keys.select("sig", "sid"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
