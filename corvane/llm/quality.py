@@ -46,7 +46,8 @@ class _Memo(dict):
         return x
 
 
-_hash = _Memo().__getitem__
+_MEMO = _Memo()
+_hash = _MEMO.__getitem__
 
 
 def shape(token: str) -> str:
@@ -66,6 +67,7 @@ def _count(buckets: int):
                 if good.as_py():
                     total[1] += c
         for kind in (0, 1):
+            _MEMO.clear()  # the worker process goes on to other tasks
             at = np.flatnonzero(total[kind])
             yield pa.RecordBatch.from_arrays([pa.array(at * 2 + kind), pa.array(total[kind][at])], names=["at", "n"])
 

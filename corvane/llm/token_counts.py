@@ -92,10 +92,8 @@ class Counted:
         self.encoded = 0
 
     def _leaves(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        self.enc.learn(pieces)
         n = len(pieces)
-        bytes_of = map(len, map(self.enc.known.__getitem__, pieces))
-        return np.fromiter(map(len, pieces), np.int64, n), np.fromiter(bytes_of, np.int64, n) // 4
+        return np.fromiter(map(len, pieces), np.int64, n), np.fromiter(map(len, self.enc.ids(pieces)), np.int64, n) // 4
 
     @property
     def n_tokens(self) -> int:

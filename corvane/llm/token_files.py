@@ -9,6 +9,7 @@ is a Parquet file whose rows are segments in ascending order of document, which
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -132,40 +133,44 @@ class Encoder:
     """Ids of texts from a tokenizers file, remembering pieces that come again.
 
     Where a single space or line end stands between characters that aren't white space, a byte-level tokenizer's
-    pre-tokens start anew, so that pieces between such places can be encoded alone. An added token of the file, such as
-    <|endoftext|>, is a piece wherever a text has it, and what stands on either side ends there, as in the library.
-    Pieces are remembered up to `room`; those beyond are encoded each time they come.
+    pre-tokens start anew, and so do they between letters and a sign other than the apostrophe; pieces between such places
+    can be encoded alone. An added token of the file, such as <|endoftext|>, is a piece wherever a text has it, and what
+    stands on either side ends there, as in the library. Pieces of up to LONG characters are remembered while they and
+    their ids take `room` bytes at most; others are encoded each time they come. A tokenizer with other pre-tokens than the
+    byte-level ones, or with a normalizer, is refused.
     """
 
     WHITE, DARK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"  # the tokenizer's \s and \S; Python's \s has \x1c-\x1f as well
-    PIECE = re.compile(rf" ?{DARK}+|{WHITE}+(?!{DARK})|{WHITE}+")
+    LETTER, SIGN = r"[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-&(-/:-@\[-`{-~]"
+    PIECE = re.compile(rf" ?{LETTER}++(?={SIGN})| ?{DARK}++|{WHITE}+(?!{DARK})|{WHITE}+")
     BLANK = re.compile(rf"{WHITE}+")
+    LONG = 64
 
-    def __init__(self, tokenizer_json: str, room: int = 800_000):
+    def __init__(self, tokenizer_json: str, room: int = 100 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        told = json.loads(tokenizer_json)
+        if told.get("normalizer") or (told.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or told["pre_tokenizer"].get("add_prefix_space") or not told["pre_tokenizer"].get("use_regex", True):
+            raise ValueError("only byte-level tokenizers without a normalizer can be taken piece by piece")
         added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.longest = len(added[0]) if added else 0
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         if added:
             a = self.added.pattern
             w, d = rf"(?:(?!{a}){self.WHITE})+", rf"(?:(?!{a}){self.DARK})+"
-            self.mixed = re.compile(rf"{a}| ?{d}|{w}(?={a}|(?!{self.DARK}))|{w}")
-        self.room, self.known = room, _Known()
+            self.mixed = re.compile(rf"{a}| ?(?:(?!{a}){self.LETTER})++(?={self.SIGN})| ?{d}|{w}(?={a}|(?!{self.DARK}))|{w}")
+        self.room = room
+        self.known: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def cutter(self, text: str) -> re.Pattern:
         """What finds the pieces of the text: PIECE, unless an added token is in it."""
         return self.mixed if self.added and self.added.search(text) else self.PIECE
 
-    def learn(self, pieces: list[str]) -> None:
-        """Makes known what wasn't. New pieces are encoded as lines of one text, where they can't touch each other."""
-        known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        self.known.more = found = {}
-        if not new:
-            return
+    def made(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces. They are encoded as lines of one text, where they can't touch each other."""
+        found: dict[str, bytes] = {}
         lines = [p for p in new if "\n" not in p and not self.BLANK.fullmatch(p)]
         if len(self.line) == 1 and lines:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
@@ -178,29 +183,36 @@ class Encoder:
         rest = [p for p in new if p not in found]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             found[p] = np.array(e.ids, "<u4").tobytes()
-        if len(self.known) < self.room:
-            self.known.update(found)
+        if self.room > 0:
+            kept = {p: x for p, x in found.items() if len(p) <= self.LONG}
+            self.room -= sum(map(len, kept)) + sum(map(len, kept.values())) + 200 * len(kept)  # two objects and a place in the table
+            self.known.update(kept)
+        return found
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit words."""
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            at = [i for i, x in enumerate(out) if x is None]
+            found = self.made(list({pieces[i] for i in at}))
+            for i in at:
+                out[i] = found[pieces[i]]
+        return out
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words."""
-        cut = [self.cutter(t or "").findall(t or "") for t in texts]
-        self.learn([p for pieces in cut for p in pieces])
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        pieces, ends = [], []
+        for t in texts:
+            if t:
+                pieces += self.cutter(t).findall(t)
+            ends.append(len(pieces))
+        ids = self.ids(pieces)
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
 
-class _Known(dict):
-    """Pieces that are remembered, and for now those of the texts at hand."""
-
-    more: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.more[piece]
-
-
 #: Characters of texts that are encoded together.
 TOGETHER = 400_000
 
@@ -263,7 +275,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int = 0, segment_
     spark = docs.sparkSession
     C.ship(spark)
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)  # of fixed size
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     made = dealt.mapInArrow(_write(vocabulary, end_id, segment_ids), SEGMENT)
     if path is None:
         return C.spill(made, "tokens")
@@ -292,7 +304,8 @@ def read_digests(segments: DataFrame) -> DataFrame:
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("shard_base", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).drop("n")
     inner = Window.partitionBy("shard").orderBy("seq")
     bases = segments.select("shard", "seq", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("inner_base")).join(shards, "shard").select("shard", "seq", (F.col("shard_base") + F.col("inner_base")).alias("base"))
-    return segments.join(F.broadcast(bases), ["shard", "seq"]).select("base", "image").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bases = C.spill(bases, "bases")  # whether it's sent to all tasks goes by its written size, under Spark's own bound
+    return segments.join(bases, ["shard", "seq"]).select("base", "image").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer_json: str, **options) -> DataFrame:
