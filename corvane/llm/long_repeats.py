@@ -2,14 +2,18 @@
 
 A string of `length` bytes that starts in two places has in both, at the same offset, the same anchor: the 32-byte gram of
 least hash in it. So only places whose anchor gram occurs elsewhere can hold such a string, and all that share one are
-compared through the text about them, the contexts. Contexts that are equal need no comparison. The rest are dealt by gram
-to shards of bounded size, and each shard is indexed: its Burrows-Wheeler transform in runs, with the text position and the
-common prefix with the suffix above sampled at each run's start, and with the suffix below at its end. Within a run, the
-prefix shrinks by one a step, so a pass over the text for either streams every position's longest match; positions with long enough ones are marked.
-
-Two contexts that match long enough agree on half of it either before or after the anchor; where a gram has more than a few
-contexts, only those that agree so meet. If they are more than `block`, their shards are pairs of blocks, so that every two
-meet in one of them.
+compared through the text about them, the contexts. Contexts that are equal need no comparison, and of two that match long
+enough, both agree on half of it either before or after the anchor: contexts that agree with none on either half go.
+
+The rest are dealt by gram to shards of bounded size, and each shard is indexed: its Burrows-Wheeler transform in runs, with
+the common prefixes with the suffixes above and below sampled at each run's start and end. LF steps over the runs stream
+every position's matching statistics, backwards: within a run the prefixes grow by one a step, at its ends the samples
+take over. Positions with long enough ones are marked.
+
+A gram with more contexts than a shard may hold is split by what its contexts hold about the anchor: each is compared
+with one of them, the head. Contexts that leave the head at different places have no more in common than with the head;
+those that leave it at the same place by the same byte, before or after the anchor, form a group, which is split anew or
+indexed. So the work is linear in the contexts of a gram in each round, and no two of its parts meet.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ GRAM, PLACE_BITS = 32, 26
 TABLE = C.mix(np.arange(1, 257, dtype=np.uint64))
 SEPARATOR = 0xFF  # in no UTF-8 text
 RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-#: Contexts of one gram that are compared as they are; more are first told apart by the text on either side.
-FEW = 64
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -113,32 +115,55 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 class RunIndex:
-    """Samples of a text's Burrows-Wheeler transform at the starts and ends of its runs; their number bounds the index."""
+    """A text's Burrows-Wheeler transform in runs, with samples at their ends; the text and its suffix array aren't kept.
+
+    For run k, `start` is its first row and `lf` the row that an LF step leads to from there; the step keeps the order of
+    a run's rows. `above` is the common prefix of the suffix at that row with the one above it, `below` that of the
+    suffix to which the run's last row leads with the one below. Every LANE positions, `rows`, `ups` and `downs` hold
+    where a stream can begin.
+    """
+
+    LANE = 512
 
     def __init__(self, text: np.ndarray):
-        self.text, self.n = text, len(text)
+        n = self.n = len(text)
         sa = suffix_array(text)
-        bwt = np.where(sa > 0, text[sa - 1], 0)
+        row = np.empty(n, np.int64)
+        row[sa] = np.arange(n)
+        bwt = text[sa - 1]
         first = np.concatenate(([True], bwt[1:] != bwt[:-1])) | (sa == 0)
         first[1:] |= sa[:-1] == 0  # the text's start is a run by itself
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], self.n) - 1
-        self.starts, self.ends = sa[starts], sa[ends]  # text positions
-        self.above = np.append(0, common_prefixes(text, self.starts[1:], self.ends[:-1]))  # with the suffix above a start
-        self.below = np.append(self.above[1:], 0)  # with the suffix below an end
-
-    @property
-    def sa(self) -> np.ndarray:
-        """The text's suffix array, made anew; the index doesn't keep it."""
-        return suffix_array(self.text)
+        self.start = np.flatnonzero(first)
+        self.end = np.append(self.start[1:], n) - 1
+        self.lf = row[sa[self.start] - 1]
+        order = np.argsort(self.lf)  # the rows that runs lead to follow each other in this order
+        to = self.lf[order][1:]
+        between = common_prefixes(text, sa[to], sa[to - 1])
+        self.above, self.below = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        self.above[order] = np.append(0, between)
+        self.below[order] = np.append(between, 0)
+        last = np.minimum(np.arange(self.LANE, n + self.LANE, self.LANE), n) - 1
+        self.rows = row[last]
+        up, down = np.maximum(self.rows - 1, 0), np.minimum(self.rows + 1, n - 1)
+        self.ups = np.where(self.rows > 0, common_prefixes(text, last, sa[up]), 0)
+        self.downs = np.where(self.rows < n - 1, common_prefixes(text, last, sa[down]), 0)
 
     def matches(self) -> np.ndarray:
         """For each position of the text, the length of its longest match with any other position."""
         out = np.zeros(self.n, np.int64)
-        for samples, prefixes in ((self.starts, self.above), (self.ends, self.below)):
-            at = np.zeros(self.n, np.int64)
-            at[samples] = prefixes + samples
-            out = np.maximum(out, np.maximum.accumulate(at) - np.arange(self.n))
+        row, up, down = self.rows, self.ups, self.downs
+        low = np.arange(len(row)) * self.LANE
+        at = np.minimum(low + self.LANE, self.n) - 1
+        while len(at):
+            out[at] = np.maximum(up, down)
+            on = at > low
+            if not on.all():
+                row, up, down, low, at = row[on], up[on], down[on], low[on], at[on]
+            k = np.searchsorted(self.start, row, side="right") - 1
+            up = np.where(row == self.start[k], self.above[k], up + 1)
+            down = np.where(row == self.end[k], self.below[k], down + 1)
+            row = self.lf[k] + row - self.start[k]
+            at = at - 1
         return out
 
 
@@ -237,12 +262,12 @@ def _contexts(length: int):
                         found[key][0].append(lo)
                         continue
                     half = [xxhash.xxh3_64_intdigest(raw[p - left : p]) - (1 << 63) if p >= left else None, xxhash.xxh3_64_intdigest(raw[p : p + right]) - (1 << 63) if p + right <= len(raw) else None]
-                    found[key] = ([lo], hi - lo, *half, None if key in seen else data)
+                    found[key] = ([lo], hi - lo, p - lo, *half, None if key in seen else data)
                     if len(seen) < 1_000_000:
                         seen.add(key)
                 n = len(found)
-                cols = list(zip(*found.values())) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([digest.as_py()] * n, pa.binary()), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["gram", "ctx", "digest", "starts", "size", "lefts", "rights", "data"])
+                cols = list(zip(*found.values())) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([digest.as_py()] * n, pa.binary()), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=["gram", "ctx", "digest", "starts", "size", "at", "lefts", "rights", "data"])
 
     return run
 
@@ -257,6 +282,61 @@ def _index(length: int):
     return run
 
 
+def same(x: bytes, y: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    low = 0
+    while n > 1:  # the first difference is within n bytes from low
+        half = n // 2
+        if x[low : low + half] == y[low : low + half]:
+            low, n = low + half, n - half
+        else:
+            n = half
+    return low
+
+
+def _leave(batches):
+    """What each context shares with its group's head: bytes before the anchor and from it on, and the bytes after those."""
+    for b in batches:
+        found = []
+        for at, x, p, y in zip(*(b.column(c).to_pylist() for c in ("at", "data", "head_at", "head"))):
+            left, right = same(x[:at][::-1], y[:p][::-1]), same(x[at:], y[p:])
+            found.append((left, right, x[at - left - 1] if left < at else None, x[at + right] if at + right < len(x) else None))
+        cols = list(zip(*found)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "gram", "ctx", "at", "head_ctx", "head_at")), *(pa.array(c, pa.int32()) for c in cols)], names=["part", "gram", "ctx", "at", "head_ctx", "head_at", "left", "right", "before", "after"])
+
+
+LEFT = "part long, gram long, ctx long, at int, head_ctx long, head_at int, left int, right int, before int, after int"
+
+
+def _split(groups: DataFrame, todo: DataFrame, length: int, block: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(parts of at most `block` contexts, as (part, gram, ctx); runs found on the way, as (gram, ctx, runs)).
+
+    groups: (part, gram, ctx) of the groups that are too large; todo: what the contexts hold.
+    """
+    small, runs = [], []
+    cell = lambda at, left, right: F.array(F.struct((F.col(at) - F.col(left)).cast("long").alias("a"), (F.col(at) + F.col(right)).cast("long").alias("b")))
+    while not groups.isEmpty():
+        held = groups.join(todo.select("gram", "ctx", "at", "data"), ["gram", "ctx"])
+        heads = groups.groupBy("part").agg(F.min(F.struct("ctx", "gram")).alias("h")).select("part", F.col("h.ctx").alias("head_ctx"), F.col("h.gram").alias("head_gram"))
+        heads = heads.join(todo.select(F.col("gram").alias("head_gram"), F.col("ctx").alias("head_ctx"), F.col("at").alias("head_at"), F.col("data").alias("head")), ["head_gram", "head_ctx"])
+        met = held.join(heads, "part").where(F.col("ctx") != F.col("head_ctx")).select("part", "gram", "ctx", "at", "data", "head_ctx", "head_at", "head")
+        left = C.spill(met.mapInArrow(_leave, LEFT), "left")
+        long_ = left.where(F.col("left") + F.col("right") >= length)
+        top = long_.groupBy("part", "gram", "head_ctx", "head_at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+        runs.append(long_.select("gram", "ctx", cell("at", "left", "right").alias("runs")))
+        runs.append(top.select("gram", F.col("head_ctx").alias("ctx"), cell("head_at", "left", "right").alias("runs")))
+        ways = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64("part", F.lit(c), n, c)) for n, c in (("left", "before"), ("right", "after"))]), lambda x: x.isNotNull())
+        parts = left.select(F.explode(ways).alias("part"), "gram", "ctx")
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        parts = C.spill(parts.join(sizes, "part"), "parts")
+        small.append(parts.where(F.col("n") <= block).select("part", "gram", "ctx"))
+        groups = parts.where(F.col("n") > block).select("part", "gram", "ctx")
+    return small, runs
+
+
 def _merge(batches):
     for b in batches:
         whole = [merged([(x["a"], x["b"]) for x in each]) for each in b.column(1).to_pylist()]
@@ -295,29 +375,31 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 2048) -> Dat
     wanted = C.spill(each.join(twice, "gram").groupBy("digest").agg(F.collect_set("gram").alias("wanted")), "wanted")
     texts = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(wanted, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     texts = C.spill(texts, "candidates")
-    shape = "gram long, ctx long, digest binary, starts array<long>, size int, lefts long, rights long, data binary"
+    shape = "gram long, ctx long, digest binary, starts array<long>, size int, at int, lefts long, rights long, data binary"
     places = C.spill(texts.mapInArrow(_contexts(length), shape), "places")
 
     kinds = places.groupBy("gram", "ctx").agg(F.sum(F.size("starts")).alias("n"), F.first("size").alias("size"))
-    lone = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     pair = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b")))
     whole = kinds.where((F.col("n") > 1) & (F.col("size") >= length)).select("gram", "ctx", pair.alias("runs"))
-    one = places.where("data is not null").dropDuplicates(["gram", "ctx"]).select("gram", "ctx", "digest", F.get("starts", F.lit(0)).alias("start"), "lefts", "rights", "data")
-    todo = C.spill(one.join(lone, "gram"), "contexts")
-    size = todo.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards = F.lit(max(1, size // (2 << 20)))
-    item = ["gram", "ctx", "digest", "start", "data"]
-    few = todo.where(F.col("kinds") <= FEW).select(F.pmod("gram", shards).alias("pair"), F.lit(0).alias("hot"), *item)
+    one = places.where("data is not null").dropDuplicates(["gram", "ctx"]).select("gram", "ctx", "digest", F.get("starts", F.lit(0)).alias("start"), "at", "data")
+    sides = places.where("data is not null").select("gram", "ctx", "lefts", "rights").distinct()
     halves = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64("gram", F.lit(i), c)) for i, c in enumerate(("lefts", "rights"))]), lambda x: x.isNotNull())
-    many = todo.where(F.col("kinds") > FEW).select(F.explode(halves).alias("half"), *item)
-    alike = many.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("blocks"))
-    many = many.join(alike, "half")
-    mine = F.pmod(F.xxhash64("ctx"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    crowd = many.where("blocks > 1").withColumn("other", other).select(F.xxhash64("half", F.least(mine, F.col("other")), F.greatest(mine, F.col("other"))).alias("pair"), F.lit(2).alias("hot"), *item)
-    many = many.where("blocks = 1").select(F.pmod("half", shards).alias("pair"), F.lit(1).alias("hot"), *item)
-    found = few.unionByName(many).unionByName(crowd).groupBy("pair", "hot").applyInArrow(_index(length), "gram long, ctx long, runs array<struct<a:long,b:long>>")
-    cuts = C.spill(found.unionByName(whole).groupBy("gram", "ctx").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "cuts")
+    half = sides.select("gram", "ctx", F.explode(halves).alias("half"))
+    alike = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    todo = C.spill(one.join(half.join(alike, "half").select("gram", "ctx").distinct(), ["gram", "ctx"]), "contexts")
+    kinds = todo.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = C.spill(todo.select("gram", "ctx").join(kinds, "gram"), "dealt")
+    crowd = dealt.where(F.col("n") > block).select(F.col("gram").alias("part"), "gram", "ctx")
+    small, found = _split(crowd, todo, length, block)
+    total = todo.agg(F.sum(F.length("data"))).first()[0] or 0
+    shards = F.lit(max(1, total // (2 << 20)))
+    held = dealt.where(F.col("n") <= block).select(F.pmod("gram", shards).alias("shard"), "gram", "ctx")
+    for s in small:
+        held = held.unionByName(s.select(F.pmod("part", shards).alias("shard"), "gram", "ctx").distinct())
+    found.append(held.join(todo, ["gram", "ctx"]).select("shard", "gram", "ctx", "digest", "start", "data").groupBy("shard").applyInArrow(_index(length), "gram long, ctx long, runs array<struct<a:long,b:long>>"))
+    for f in found:
+        whole = whole.unionByName(f)
+    cuts = C.spill(whole.groupBy("gram", "ctx").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "cuts")
     moved = F.flatten(F.transform("starts", lambda s: F.transform("runs", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b")))))
     lines = cuts.join(places.select("gram", "ctx", "digest", "starts"), ["gram", "ctx"]).select("digest", moved.alias("x"))
     marked = C.spill(lines.groupBy("digest").agg(F.flatten(F.collect_list("x")).alias("x")).mapInArrow(_merge, "digest binary, cuts array<struct<a:long,b:long>>"), "marked")

@@ -36,9 +36,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("length,block,few", [(400, 2048, 64), (400, 3, 1), (100, 2, 2), (101, 2048, 1)])
-def test_against_brute_force(spark, monkeypatch, length, block, few):
-    monkeypatch.setattr(R, "FEW", few)
+@pytest.mark.parametrize("length,block", [(400, 2048), (400, 3), (100, 2), (101, 4)])
+def test_against_brute_force(spark, monkeypatch, length, block):
+    monkeypatch.setattr(R, "PLACE_BITS", 10)  # so that texts are taken in pieces, as very long ones are
     rows = corpus(length + block)
     got = R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, block).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, length)
@@ -48,12 +48,11 @@ def test_empty_table(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string, digest string")).count() == 0
 
 
-def test_run_index():
+def test_run_index(monkeypatch):
     rng = random.Random(2)
     for _ in range(60):
         b = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 50))) * rng.randint(1, 3)
-        index = R.RunIndex(np.frombuffer(b, np.uint8))
-        assert index.sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        monkeypatch.setattr(R.RunIndex, "LANE", rng.choice([1, 7, 512]))
 
         def common(i, j):
             n = 0
@@ -61,9 +60,32 @@ def test_run_index():
                 n += 1
             return n
 
+        index = R.RunIndex(np.frombuffer(b, np.uint8))
         assert index.matches().tolist() == [max([common(i, j) for j in range(len(b)) if j != i], default=0) for i in range(len(b))]
 
 
+def test_common_prefix():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = (bytes(rng.choice(b"aab") for _ in range(rng.randrange(9))) for _ in "xy")
+        assert R.same(x, y) == next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+
+def test_planted_passages(spark):
+    """Passages of over 50 words that recur lose their bytes if they are of 400 bytes or more, and nothing else does."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(5, 9))) for _ in range(n))
+    passages = [say(n) for n in (55, 80, 300)]
+    short = say(51)[:399]
+    rows = [(i, f"{say(40)}\n{p}\n{say(25)}") for i, p in enumerate([p for p in passages for _ in range(4)])]
+    rows += [(100 + i, f"{say(30)}\n{short}\n{say(30)}") for i in range(3)] + [(200 + i, say(120)) for i in range(8)]
+    got = {r["doc_id"]: r for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate([p for p in passages for _ in range(4)]):
+        assert got[i]["n_spans"] == 1 and len(p) <= got[i]["n_removed"] <= len(p) + 6
+    assert all(got[i]["n_removed"] == 0 and got[i]["n_bytes"] == len(t) for i, t in rows if i >= 200)
+    assert all(got[100 + i]["n_removed"] in (0, 400, 401) for i in range(3))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(3)
     core = bytes(rng.randrange(97, 103) for _ in range(450))
@@ -74,10 +96,6 @@ def test_equal_windows_have_equal_anchors():
 
 
 def test_index_holds_samples_of_runs_alone():
-    rng = np.random.default_rng(9)
-    for text in [rng.integers(0, k, n).astype(np.uint8) for k in (1, 2, 3) for n in (1, 2, 5, 60)] + [np.tile(rng.integers(0, 4, 50), 8).astype(np.uint8)]:
-        index, raw, n = R.RunIndex(text), text.tobytes(), len(text)
-        longest = lambda i: max((k for k in range(n - i + 1) if any(raw.startswith(raw[i : i + k], j) for j in range(n) if j != i)), default=0)
-        assert index.matches().tolist() == [longest(i) for i in range(n)]
-    most = max(len(v) for k, v in vars(index).items() if k != "text" and isinstance(v, np.ndarray))
-    assert n == 400 and most <= 100
+    text = np.tile(np.random.default_rng(9).integers(0, 4, 50), 40).astype(np.uint8)
+    index = R.RunIndex(text)
+    assert all(len(v) <= 100 for v in vars(index).values() if isinstance(v, np.ndarray)) and len(text) == 2000
