@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 from datetime import datetime, timedelta, timezone
 
@@ -104,3 +105,8 @@ def _json(v):
     if isinstance(v, datetime):
         return {"$datetime": v.isoformat()}
     return {"$uuid": str(v)}
+
+
+def pack_vector(values) -> bytes:
+    """Numbers as little-endian 32-bit floats, one after the other; searches take such bytes as a vector."""
+    return struct.pack(f"<{len(values)}f", *values)

@@ -61,8 +61,8 @@ class Graph:
         return self.directed(direction).where(F.col("from") == node).count()
 
     def top_hubs(self, k: int, direction: str = "both", label: str | None = None) -> DataFrame:
-        """The k nodes of most edges, with the most first and ties by id; only nodes that have edges."""
-        d = self.degrees(direction).where("degree > 0")
+        """The k nodes of most edges, with the most first and ties by id; nodes without edges come last."""
+        d = self.degrees(direction)
         return (d if label is None else d.where(F.col("label") == label)).orderBy(F.desc("degree"), "id").limit(k).select("id", "degree")
 
     # ------------------------------------------------------------ breadth first
@@ -176,12 +176,4 @@ class Graph:
         return steps and (steps[-1].cost, steps)
 
 
-def collect_ids(df: DataFrame) -> list[int]:
-    return [r[0] for r in df.collect()]
-
-
-def property_of(col: str | Column, name: str, type: T.DataType) -> P.Term:
-    return P.step(P.Term(F.col(col) if isinstance(col, str) else col, P.kind_of_type(type), type), name)
-
-
 __all__ = ["Graph", "NotFound", "Step"]

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +13,7 @@ from ..errors import InvalidQuery, SchemaMismatch
 from ..plans import predicates as P
 
 TERM = r"[\p{IsAlphabetic}\p{N}]+"
-_PY_TERM = re.compile(r"[^\W_]+")
+_PY_TERM = regex.compile(r"[\p{Alphabetic}\p{N}]+")  # the same runs, for queries
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 METRICS = ("cosine", "dot", "euclidean")

@@ -141,9 +141,8 @@ class Parser:
                         r.high = self._bound(c.next().text) if c.peek().kind == "num" else MAX_HOPS
                 elif c.op(".."):
                     r.high = self._bound(c.next().text) if c.peek().kind == "num" else MAX_HOPS
-                r.high = min(r.high, MAX_HOPS)
-                if r.low > r.high:
-                    c.fail("a path's least length is above its greatest")
+                if r.low > r.high or r.high > MAX_HOPS:
+                    c.fail(f"a path's least length can't be above its greatest, nor that above {MAX_HOPS}")
             r.props = self._props()
             c.need_op("]")
         ahead = c.op("->") or (c.op("-") and False)
@@ -367,10 +366,10 @@ class Compiler:
             return self.compare(P.FLIP[op], right, left)
         else:
             missing = P.is_null(a)
-            if a.kind == b.kind == "any":
-                a, b = (P.Term(F.try_variant_get(x.column, "$", "string"), "str") for x in (a, b))
         empty = P.is_null(self.term(right))
-        if a.kind == "null" or b.kind == "null" or not comparable(a.kind, b.kind):
+        if a.kind == b.kind == "any":  # numbers with numbers, texts with texts
+            same = P.settle(F.coalesce(*[P.compare(P.typed(a, k), op, P.typed(b, k)) for k in ("float", "str", "bool")]))
+        elif a.kind == "null" or b.kind == "null" or not comparable(a.kind, b.kind):
             same = F.lit(False)
         else:
             x, y = a.column, b.column
@@ -416,9 +415,11 @@ class Compiler:
                 raise InvalidQuery("IN needs a list or a literal")
             return P.compile_contains(self.term(e[2]), e[1][1])
         if kind == "like":
-            if e[2][0] != "lit":
-                raise InvalidQuery("LIKE needs a literal")
             c, ok = self._text(e[1])
+            if e[2][0] != "lit":
+                pattern, known = self._text(e[2])
+                hit = (F.ilike if e[3] else F.like)(c, pattern)
+                return P.settle(ok & known & (~hit if e[4] else hit))
             if not isinstance(e[2][1], str):
                 return F.lit(False)
             hit = F.lower(c).rlike(like_pattern(e[2][1].lower())) if e[3] else c.rlike(like_pattern(e[2][1]))
@@ -444,7 +445,9 @@ class Compiler:
             return F.collect_list(t.column)
         if fn in ("sum", "avg"):
             if t.kind == "any":
-                t = P.Term(P.typed(t, "float"), "float")
+                number = P.typed(t, "float")
+                wrong = F.raise_error(F.lit(f"{fn} needs numbers")).cast("double")
+                t = P.Term(F.when(number.isNull() & ~P.is_null(t), wrong).otherwise(number), "float")
             if t.kind not in P.NUMBERS:
                 raise InvalidQuery(f"{fn} needs numbers")
             if fn == "avg":

@@ -59,7 +59,7 @@ over("scan_prefix", "part", "p_partkey", lambda: col("p_type").starts_with("S"),
 over("scan_index_eq", "customer", "c_custkey", lambda: P.where({"c_nationkey": 3}), "c_nationkey = 3", "c_custkey, c_name, c_nationkey")
 over("scan_index_range", "customer", "c_custkey", lambda: col("c_acctbal").between(0.0, 500.5), "c_acctbal BETWEEN 0 AND 500.5", "c_custkey, c_acctbal")
 over("pred_cmp", "lineitem", "l_orderkey", lambda: (col("l_quantity") > 45) & (col("l_discount") <= 0.02), "l_quantity > 45 AND l_discount <= 0.02", "l_orderkey, l_partkey, l_linenumber, l_quantity, l_discount")
-over("pred_kinds", "orders", "o_orderkey", lambda: col("o_orderstatus").ne(3) | col("o_totalprice").lt(1000), "o_totalprice < 1000", "o_orderkey, o_totalprice")
+over("pred_kinds", "orders", "o_orderkey", lambda: col("o_orderstatus").ne(3) | col("o_totalprice").lt(50000), "o_totalprice < 50000", "o_orderkey, o_totalprice")
 over("pred_not_like", "part", "p_partkey", lambda: ~col("p_type").like("%E_%"), "NOT coalesce(regexp_full_match(p_type, '.*E..*', 's'), false)", "p_partkey, p_type")
 over("pred_like", "customer", "c_custkey", lambda: col("c_mktsegment").like("%U_L%"), "regexp_full_match(c_mktsegment, '.*U.L.*', 's')", "c_custkey, c_mktsegment")
 over("pred_ilike", "customer", "c_custkey", lambda: col("c_mktsegment").ilike("%buil%"), "contains(lower(c_mktsegment), 'buil')", "c_custkey, c_mktsegment")
@@ -95,7 +95,7 @@ def events(s, d) -> Query:
 add("pred_path", "SELECT event_id, event_type FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50", lambda s, d: events(s, d).filter(col("props.k").ge(50)).columns(["event_type"]).run())
 add("pred_contains_key", "SELECT event_id FROM events WHERE json_exists(props, '$.k')", lambda s, d: events(s, d).filter(col("props").contains("k") & ~col("props").contains("zz")).columns(["event_id"]).run())
 add("pred_path_missing", "SELECT event_id FROM events", lambda s, d: events(s, d).filter(~col("props.none.deeper").eq(1)).columns(["event_id"]).run())
-add("proj_alias_path", "SELECT event_id AS id, event_type AS what, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_id < 500", lambda s, d: events(s, d).filter(col("event_id").lt(500)).project([("event_id", "id"), ("event_type", "what"), ("props.k", "k")]).withColumn("k", F.try_variant_get("k", "$", "string")))
+add("proj_alias_path", "SELECT event_id AS id, event_type AS what, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events", lambda s, d: events(s, d).project([("event_id", "id"), ("event_type", "what"), ("props.k", "k")]).withColumn("k", F.try_variant_get("k", "$", "string")))
 
 # ---------------------------------------------------------------- order and paging
 add("order_multi", f"SELECT {ORDERS} FROM orders ORDER BY o_orderpriority ASC NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100", lambda s, d: q(s, d, "orders", "o_orderkey").order_by("o_orderpriority").order_by_desc("o_totalprice").limit(100).run())
@@ -223,6 +223,17 @@ pattern("match_order_skip_limit", "MATCH (c:Customer)-[:PLACED]->(o) RETURN o.am
 pattern("match_edge_prop", "MATCH (o:Order)-[e:CONTAINS {weight: 50.0}]->(p:Part) RETURN id(o) AS o, id(p) AS p, e.weight AS w", "SELECT src AS o, dst AS p, w FROM edges WHERE type = 'CONTAINS' AND w = 50")
 pattern("match_star", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN *", "SELECT n.id AS n, r.id AS r FROM edges JOIN nodes n ON n.id = src JOIN nodes r ON r.id = dst WHERE type = 'IN_REGION'", fix=lambda df: df.select(F.col("n.id").alias("n"), F.col("r.id").alias("r")))
 
+HOP = "FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst"
+pattern("match_in_list", "MATCH (n) WHERE n.name IN ['ASIA', 3, 'EUROPE'] OR n.amount IN [1, 2] RETURN id(n) AS n", "SELECT id AS n FROM nodes WHERE name IN ('ASIA', 'EUROPE') OR amount IN (1, 2)")
+pattern("match_is_null", "MATCH (n) WHERE n.amount IS NULL AND n.name IS NOT NULL RETURN label(n) AS label, count(*) AS n", "SELECT label, count(*) AS n FROM nodes WHERE amount IS NULL AND name IS NOT NULL GROUP BY 1")
+pattern("match_starts_ends", "MATCH (n) WHERE n.name STARTS WITH 'A' OR n.name ENDS WITH 'IA' RETURN id(n) AS n, n.name AS name", "SELECT id AS n, name FROM nodes WHERE starts_with(name, 'A') OR ends_with(name, 'IA')")
+pattern("match_contains", "MATCH (n:Customer) WHERE n.name CONTAINS '77' RETURN id(n) AS n", "SELECT id AS n FROM nodes WHERE label = 'Customer' AND contains(name, '77')")
+pattern("match_below_minus_one", "MATCH (n) WHERE n.amount <-1 RETURN id(n) AS n, n.amount AS amount", "SELECT id AS n, amount FROM nodes WHERE amount < -1")
+pattern("match_no_match", "MATCH (n:Nothing)-[:PLACED]->(m) RETURN count(*) AS n, sum(m.amount) AS total", "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS total")
+pattern("match_like_of_property", "MATCH (a:Nation)-[:IN_REGION]->(b) WHERE a.name NOT LIKE b.name RETURN a.name AS a, b.name AS b", f"SELECT a.name AS a, b.name AS b {HOP} WHERE type = 'IN_REGION' AND a.name NOT LIKE b.name")
+pattern("match_node_scan", "MATCH (n:Supplier) RETURN id(n) AS n, label(n) AS label, n.name AS name", "SELECT id AS n, label, name FROM nodes WHERE label = 'Supplier'")
+add("query_count", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 1000", lambda s, d: s.createDataFrame([(q(s, d, "orders", "o_orderkey").filter(col("o_totalprice").gt(1000)).limit(1).count(),)], "n long"))
+
 ASIA = 1 * G + 2
 add("graph_neighbors", WITH + f"SELECT src AS \"to\", type FROM edges WHERE dst = {ASIA}", lambda s, d: Graph(*graph(s, d)).neighbors(ASIA, "in").select("to", "type"))
 add("graph_degree", WITH + "SELECT n.id, n.label, CAST(count(e.src) AS BIGINT) AS degree FROM nodes n LEFT JOIN edges e ON n.id = e.src GROUP BY 1, 2", lambda s, d: Graph(*graph(s, d)).degrees("out"))
@@ -268,7 +279,7 @@ fts("fts_bm25", "license apache the")
 fts("fts_prefix", "lice* vers*")
 fts("fts_match_all", "licensed version the", match_all=True)
 fts("fts_filter", "und der license", "lang = 'de'", lambda: col("lang").eq("de"))
-add("fts_terms", r"SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x))) AS term FROM documents WHERE lang = 'en') GROUP BY 1", lambda s, d: t(s, d, "documents").where("lang = 'en'").select(F.explode(search.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+add("fts_terms", r"SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x))) AS term FROM documents) GROUP BY 1", lambda s, d: t(s, d, "documents").select(F.explode(search.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 V = [((i * 37) % 17 - 8) / 8 for i in range(64)]
 VL = "[" + ", ".join(map(str, V)) + "]::DOUBLE[]"
@@ -282,15 +293,16 @@ def _ids(s, *ids: int) -> DataFrame:
     return s.createDataFrame(list(enumerate(ids)), "pos long, id long")
 
 
-def _plain_nodes(s, d) -> DataFrame:
-    """Customers as nodes under their own keys."""
-    return t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("Customer").alias("label"), F.struct("c_name").alias("properties"))
+def _plain_nodes(s, d, segment: str | None = None) -> DataFrame:
+    """Customers, or those of a market segment, as nodes under their own keys."""
+    customers = t(s, d, "customer")
+    return (customers if segment is None else customers.where(F.col("c_mktsegment") == segment)).select(F.col("c_custkey").alias("id"), F.lit("Customer").alias("label"), F.struct("c_name").alias("properties"))
 
 
 GIVEN = "(VALUES (0, 3), (1, 1), (2, 3), (3, -7), (4, 900000)) AS g(pos, id)"
 add("hybrid_pk", f"SELECT CAST(g.pos AS BIGINT) AS pos, CAST(g.id AS BIGINT) AS id, c.c_name AS node, o.o_totalprice AS price FROM {GIVEN} LEFT JOIN customer c ON c.c_custkey = g.id LEFT JOIN orders o ON o.o_orderkey = g.id", lambda s, d: hybrid.nodes_with_rows(_ids(s, 3, 1, 3, -7, 900000), _plain_nodes(s, d), t(s, d, "orders"), "o_orderkey").select("pos", "id", F.col("node.properties.c_name").alias("node"), F.col("row.o_totalprice").alias("price")))
 add("hybrid_fk", f"SELECT CAST(g.pos AS BIGINT) AS pos, CAST(g.id AS BIGINT) AS id, coalesce(n, 0) AS n, coalesce(keys, '') AS keys FROM {GIVEN} LEFT JOIN (SELECT o_custkey, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1) ON o_custkey = g.id", lambda s, d: hybrid.nodes_with_groups(_ids(s, 3, 1, 3, -7, 900000), _plain_nodes(s, d), t(s, d, "orders"), "o_custkey", "o_orderkey").select("pos", "id", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("keys")))
-add("hybrid_reverse", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey < 700", lambda s, d: hybrid.rows_with_nodes(t(s, d, "orders"), _plain_nodes(s, d).where("id < 700"), "o_custkey").select("o_orderkey", F.col("node.properties.c_name").alias("c_name")))
+add("hybrid_reverse", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'", lambda s, d: hybrid.rows_with_nodes(t(s, d, "orders"), _plain_nodes(s, d, "BUILDING"), "o_custkey").select("o_orderkey", F.col("node.properties.c_name").alias("c_name")))
 add("hybrid_query", "SELECT o_orderkey, c_name FROM (SELECT * FROM orders WHERE o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30) LEFT JOIN customer ON o_custkey = c_custkey", lambda s, d: hybrid.query_rows_with_nodes(q(s, d, "orders", "o_orderkey").filter(col("o_totalprice").gt(200000)).order_by_desc("o_totalprice").limit(30), _plain_nodes(s, d), "o_custkey").select("o_orderkey", F.col("node.properties.c_name").alias("c_name")))
 
 # ---------------------------------------------------------------- upkeep
@@ -330,7 +342,7 @@ def _sync(s, d) -> DataFrame:
     base = customers(s, d)
     base.sync([("File", {"path": "a"}), ("Symbol", {"name": "f"})], [(New(0), New(1), "DEFINES", {})], {"cust": [{"c_custkey": 1, "c_name": "one"}]})
     n, e = base.state.nodes.count(), base.state.edges.count()
-    return base.table("cust").df.where("c_custkey <= 2").select("c_custkey", "c_name", F.lit(n).alias("nodes"), F.lit(e).alias("edges"))
+    return base.table("cust").df.select("c_custkey", "c_name", F.lit(n).alias("nodes"), F.lit(e).alias("edges"))
 
 
-add("sync_batch", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'one' ELSE c_name END AS c_name, 2 AS nodes, 1 AS edges FROM customer WHERE c_custkey <= 2", _sync)
+add("sync_batch", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'one' ELSE c_name END AS c_name, 2 AS nodes, 1 AS edges FROM customer", _sync)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .errors import ConstraintViolation, SchemaMismatch
 from .functions.values import KEYABLE, KINDS, SPARK_TYPES, kind_of_value
 
-RESERVED = frozenset("nodes edges adj_out adj_in meta relschema counters".split())
+RESERVED = frozenset(("nodes", "edges", "kv"))  # the names of a database's own tables
 _NAME = re.compile(r"[A-Za-z0-9_]{1,100}")
 
 
