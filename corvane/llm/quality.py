@@ -1,9 +1,11 @@
 """Quality by importance resampling (operator 4).
 
-Two generative models over hashed unigrams and bigrams: of target text (labelled good) and of raw text (all documents).
-A document's log importance weight is the sum of its n-grams' log ratios, over its spread. Gumbel noise on the weights and the top k of
-all documents is a sample without replacement in proportion to them. k is the number of documents whose weight passes
-the cut-off that parts the labelled documents best, so the sample is as large as the corpus has text like the target's.
+Two generative models over hashed unigrams and bigrams: of raw text (all documents), and of target text (labelled good),
+which is half the target's own counts and half the raw model, so that an n-gram that few labelled texts have weighs no
+text down by more than log 2. A document's log importance weight is the sum of its n-grams' log ratios. With standard
+Gumbel noise added, the k largest of all documents are a sample of k without replacement, each draw in proportion to the
+weights of those left. k is a parameter: by default as many as the labelled rows tell of good documents, and a small part
+of the bad ones besides, so that the cut falls among those.
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate((h, two)) & U(buckets - 1)).astype(np.int64)
 
 
+MEMO_ROOM = 200_000
+
+
 class _Memo(dict):
     def __missing__(self, token: str) -> int:
         x = xxhash.xxh3_64_intdigest(shape(token).encode("utf-8", "surrogatepass"))
-        if len(self) < 300_000:
+        if len(self) < MEMO_ROOM:
             self[token] = x
         return x
 
@@ -67,53 +72,37 @@ def _count(buckets: int):
                 if good.as_py():
                     total[1] += c
         for kind in (0, 1):
-            _MEMO.clear()  # the worker process goes on to other tasks
             at = np.flatnonzero(total[kind])
             yield pa.RecordBatch.from_arrays([pa.array(at * 2 + kind), pa.array(total[kind][at])], names=["at", "n"])
 
     return run
 
 
-def weigh(f: np.ndarray, ratio: np.ndarray) -> float:
-    """Sum of log ratios over the square root of their number: in units of its own spread, whatever the length."""
-    return float(ratio[f].sum()) / max(1, len(f)) ** 0.5
-
-
 def _score(ratio, at: int):
     def run(batches):
         r = np.frombuffer(ratio.value, np.float64)
         for b in batches:
-            w = [weigh(features(t.as_py(), len(r)), r) for t in b.column(at)]
+            w = [float(r[features(t.as_py(), len(r))].sum()) for t in b.column(at)]
+            if len(_MEMO) > MEMO_ROOM // 2:  # the worker process goes on to other tasks
+                _MEMO.clear()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], names=[*b.schema.names, "log_weight"])
 
     return run
 
 
 def log_ratio(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log p(n-gram | target) - log p(n-gram | raw) by bucket; docs: text, good. Add-one smoothed, over all rows."""
+    """log p(n-gram | target) - log p(n-gram | raw) by bucket; docs: text, good. Counts are of all rows."""
     C.ship(docs.sparkSession)
     sums = docs.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count(buckets), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    counts = np.ones((buckets, 2))
+    counts = np.zeros((buckets, 2))
     for r in sums.toLocalIterator():  # two counts a bucket at most
         counts[r["at"] // 2, r["at"] % 2] += r["n"]
-    return np.log(counts[:, 1] / counts[:, 1].sum()) - np.log(counts[:, 0] / counts[:, 0].sum())
-
-
-def cut_off(scores: list[tuple[float, bool]]) -> float:
-    """The weight a feature that parts good from bad with the fewest errors, good ones lost counting double."""
-    scores = sorted(scores)
-    bad_under = 0
-    good_under = 0
-    bad_all = sum(not g for _, g in scores)
-    if not bad_all:
-        return float("-inf")
-    best, at = bad_all, (scores[0][0] - 1.0)
-    for (x, g), (y, _) in zip(scores, [*scores[1:], (scores[-1][0] + 1.0, True)]):
-        good_under += g
-        bad_under += not g
-        if y > x and (cost := 2 * good_under + bad_all - bad_under) < best:
-            best, at = cost, (x + y) / 2
-    return at
+    return ratio_of(counts[:, 0], counts[:, 1])
+
+
+def ratio_of(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    base = (raw + 1) / (raw + 1).sum()
+    return np.log(0.5 + 0.5 * target / max(1.0, target.sum()) / base) if target.any() else np.zeros(len(raw))
 
 
 def kth_largest(values: DataFrame, k: int, slices: int = 4096) -> float:
@@ -138,22 +127,23 @@ class Resampler:
     """The fitted models of a corpus: docs (doc_id, text, ...) against labels (doc_id, quality).
 
     labels: quality 1 is good and 0 bad; nulls are ignored; a doc_id labelled both ways counts as bad. Without labels of
-    both kinds every row is kept. At most `labelled` labelled rows are used to fit, all rows for the raw model.
+    both kinds every row is kept, unless k says how many. At most `labelled` labelled ids are used to fit, all rows for
+    the raw model. spare: the part of the documents labelled bad that k counts besides the good ones.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED, temperature: float = 0.02, seed: int = 7):
+    def __init__(self, docs: DataFrame, labels: DataFrame, k: int | None = None, spare: float = 0.05, buckets: int = BUCKETS, labelled: int = LABELLED, seed: int = 7):
         spark = docs.sparkSession
         C.ship(spark)
-        self.buckets, self.temperature, self.seed = buckets, temperature, seed
+        self.buckets, self.seed = buckets, seed
         marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.min("quality") > 0).alias("good"))
         marks = F.broadcast(C.spill(marks.orderBy(F.xxhash64("label_id"), "label_id").limit(labelled), "labels"))  # of bounded size
         base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         known = base.join(marks, F.col("id") == F.col("label_id"), "left")
         self.ratio = spark.sparkContext.broadcast(log_ratio(known.select("text", "good"), buckets).tobytes())
         self.scores = C.spill(self.keyed(base, "id"), "scores")
-        fit = self.scores.join(marks, F.col("id") == F.col("label_id")).select("log_weight", "good").collect()
-        self.cut = cut_off([(r[0], r[1]) for r in fit])
-        self.k = self.scores.where(F.col("log_weight") >= self.cut).count()
+        good, bad = marks.agg(F.count(F.when(F.col("good"), 1)), F.count(F.when(~F.col("good"), 1))).first()
+        n = self.scores.count()
+        self.k = min(n, k) if k is not None else n if not (good and bad) else round(n * (good + spare * bad) / (good + bad))
         self.least = kth_largest(self.scores.select(F.col("key").alias("x")), self.k) if self.k else float("inf")
 
     def keyed(self, docs: DataFrame, id_column: str) -> DataFrame:
@@ -163,12 +153,12 @@ class Resampler:
         scored = docs.mapInArrow(_score(self.ratio, at), schema)
         draw = F.pmod(F.xxhash64(F.col(id_column).cast("long"), F.length(F.col("text").cast("string")), F.lit(self.seed)), F.lit(1 << 52).cast("long"))
         gumbel = -F.log(-F.log((draw + 0.5) / float(1 << 52)))
-        keyed = scored.withColumn("key", F.col("log_weight") + F.lit(self.temperature) * gumbel)
+        keyed = scored.withColumn("key", F.col("log_weight") + gumbel)
         return keyed.select("id", "log_weight", "key") if docs.columns == ["id", "text"] else keyed
 
 
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, log_weight, key, kept of each row of docs (doc_id, text).
+    """doc_id, log_weight, key, kept of each row of docs (doc_id, text); options are those of Resampler.
 
     log_weight is 0 for a text that is null or has no tokens; equal rows have equal keys and are kept or dropped
     together. An empty table gives no rows. Other columns are not read.
@@ -178,7 +168,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the sample takes, with all columns as they were."""
+    """The rows of docs that the sample takes, with all columns as they were; nulls and ties as in judge()."""
     r = Resampler(docs, labels, **options)
     names = [f"c{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
     scored = r.keyed(docs.toDF(*names), names[docs.columns.index("doc_id")])
