@@ -1,6 +1,6 @@
 """DuckDB twins of the operators that SQL can express."""
 
-from .url_filter import LISTED_WORDS, RULES
+from .url_filter import FLOOD, RULES
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
@@ -12,7 +12,7 @@ def _rules() -> tuple[str, str]:
         fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN "
         name += f"{fits}'{host}{path}' "
         verdict += f"{fits}'{act}' "
-    return f"CASE {name}END", f"CASE {verdict}WHEN regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END"
+    return f"CASE {name}END", f"CASE {verdict}WHEN host <> '' AND count(*) OVER (PARTITION BY host) >= {FLOOD} THEN 'block' ELSE 'allow' END"
 
 
 OP9 = f"""
