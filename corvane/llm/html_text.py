@@ -1,8 +1,10 @@
 """Main text of web pages from flat text blocks and a decision tree (operator 3).
 
-A page becomes a flat list of text blocks. Each block has its number of words and its link density, those of the blocks
-before and after it, and what the markup says of the region it stands in. A decision tree, grown here on the labelled
-blocks of a few sample pages, decides which blocks are main text.
+A page becomes a flat list of text blocks. Elements that are by their name or role no part of an article (nav, aside,
+footer, form and the like) give none. Each other block has its number of words and its link density, those of the blocks
+before and after it, and what the markup says of the place it stands in. A decision tree, grown here on the labelled
+blocks of a few sample pages, decides which blocks are main text; names of classes are one of its features, and the samples
+hold pages without names and pages whose names mislead.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Element names of the HTML standard by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe object svg math select datalist audio video canvas".split())
+RAW = frozenset("script style noscript template title textarea iframe select datalist audio video canvas".split())
 BREAKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 AROUND = frozenset("nav footer aside form dialog menu button fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of class and id names that tell of regions.
-AROUND_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown footer form gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signin signup sitenav skip social sponsor sponsored subscribe subscription tags toc toolbar topbar trending warning widget widgets alert".split())
-MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
+AROUND_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus dropdown footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signin signup sitenav skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets".split())
+MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "menu": -1, "main": 1, "article": 1}
 
 
@@ -36,42 +38,42 @@ class Block(NamedTuple):
     text: str
     words: int
     link_words: int
-    region: int
+    inside: int
+    named: int
     heading: bool
     mark: str | None
 
 
-def region_of(tag: str, attrs: str, inside: int) -> tuple[int, bool, str | None]:
-    """(-1 around the main text, 1 main text, 0 as the element around it; whether it's hidden; the data-y attribute)."""
-    found = 0
-    if tag in AROUND or (tag == "header" and inside != 1):
-        found = -1
-    elif tag in ("article", "main"):
-        found = 1
-    if not attrs or attrs.isspace():
-        return found, False, None
-    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
-    hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    if role := ROLES.get(values.get("role", "").lower()):
-        found = role
-    elif "class" in values or "id" in values:
-        parts = {p.lower() for p in PART.findall(values.get("class", "") + " " + values.get("id", ""))}
-        around = parts & AROUND_WORDS or ("header" in parts and inside != 1)
-        main = parts & MAIN_WORDS
-        if around and tag not in ("html", "body", "main") and (not main or parts & {"comment", "comments", "related", "sponsored"}):
-            found = -1
-        elif main and not around and found == 0 and tag in ("div", "section", "td"):
-            found = 1
-    if values.get("itemprop", "").lower() == "articlebody":
-        found = 1
-    return found, hidden, values.get("data-y")
+class Place(NamedTuple):
+    """An open element: inside is -1 around the main text, 1 in an article or main element; named, what class names say."""
+
+    tag: str
+    inside: int
+    named: int
+    hidden: bool
+    mark: str | None
+
+
+def place_of(tag: str, attrs: str, at: Place) -> Place:
+    """The element's place, within the one at which it opens."""
+    inside = -1 if tag in AROUND or (tag == "header" and at.inside != 1 and at.named != 1) else 1 if tag in ("article", "main") else 0
+    named, hidden, mark = 0, False, at.mark
+    if attrs and not attrs.isspace():
+        values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
+        hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+        inside = 1 if values.get("itemprop", "").lower() == "articlebody" else ROLES.get(values.get("role", "").lower(), inside)
+        mark = values.get("data-y", mark)
+        if tag not in ("html", "body", "main", "article"):
+            parts = {p.lower() for p in PART.findall(values.get("class", "") + " " + values.get("id", ""))}
+            named = -1 if parts & AROUND_WORDS else 1 if parts & MAIN_WORDS and tag in ("div", "section", "td") else 0
+    return Place(tag, -1 if at.inside == -1 else inside or at.inside, -1 if at.named == -1 else named or at.named, at.hidden or hidden, mark)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in its order; without scripts, styles, hidden parts and markup."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, str | None]] = [("", 0, False, None)]
+    stack = [Place("", 0, 0, False, None)]
     parts: list[str] = []
     links = in_link = 0
     heading = False
@@ -81,8 +83,9 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal links, heading
         if parts:
             words = "".join(parts).split()
-            if words and not stack[-1][2]:
-                out.append(Block(" ".join(words), len(words), min(links, len(words)), stack[-1][1], heading, stack[-1][3]))
+            at_ = stack[-1]
+            if words and not at_.hidden and at_.inside != -1:
+                out.append(Block(" ".join(words), len(words), min(links, len(words)), at_.inside, at_.named, heading, at_.mark))
             parts.clear()
         links, heading = 0, any(s[0] in HEADINGS for s in stack[-3:])
 
@@ -116,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             if not attrs.endswith("/"):
                 low = page.lower() if low is None or len(low) != len(page) else low
-                end = low.find("</" + tag, at) if len(low) == len(page) else next((x.start() for x in re.finditer("</" + tag, page[at:], re.I)), -1)
+                end = low.find("</" + tag, at) if len(low) == len(page) else next((x.start() for x in re.compile("</" + tag, re.I).finditer(page, at)), -1)
                 close = page.find(">", end) if end >= 0 else -1
                 at = close + 1 if close >= 0 else len(page)
             parts.append(" ")
@@ -130,10 +133,7 @@ def blocks(page: str | None) -> list[Block]:
                 stack.pop()
         if tag in VOID:
             continue
-        _, inside, gone, mark = stack[-1]
-        found, hidden, own = region_of(tag, attrs, inside)
-        region = -1 if inside == -1 else found or inside
-        stack.append((tag, region, gone or hidden, own if own is not None else mark))
+        stack.append(place_of(tag, attrs, stack[-1]))
         if tag in HEADINGS:
             heading = True
         if tag == "a":
@@ -145,13 +145,13 @@ def blocks(page: str | None) -> list[Block]:
 
 # ---------------------------------------------------------------- decision tree
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "region", "heading", "page_has_main")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "inside", "named", "heading", "page_has_main")
 
 
 def features(found: list[Block]) -> list[tuple]:
-    has = int(any(b.region == 1 for b in found))
+    has = int(any(b.inside == 1 for b in found))
     size = [(0, 0.0), *((b.words, b.link_words / b.words) for b in found), (0, 0.0)]
-    return [(*size[i + 1], *size[i], *size[i + 2], b.region, int(b.heading), has) for i, b in enumerate(found)]
+    return [(*size[i + 1], *size[i], *size[i + 2], b.inside, b.named, int(b.heading), has) for i, b in enumerate(found)]
 
 
 def _gini(labels: list[int]) -> float:
@@ -191,34 +191,42 @@ def _say(n: int, links: int = 0) -> str:
 
 
 def _page(*parts: tuple[str, int, int, int]) -> str:
-    """A sample page: (element, words, linked words, 1 for main text); an element's name may have attributes or be a pair."""
+    """A sample page: (elements from the outermost in, words, linked words, 1 for main text)."""
     out = []
     for element, words, links, label in parts:
-        outer, _, inner = element.rpartition(">")
-        inner = inner or "p"
-        name = inner.split()[0]
-        wrap = f"<{outer}>" if outer else ""
-        out.append(f'{wrap}<{inner} data-y="{label}">{_say(words, links)}</{name}>{f"</{outer.split()[0]}>" if outer else ""}')
+        *outer, inner = element.replace("<", "").split(">")
+        opened, closed = "".join(f"<{x}>" for x in outer), "".join(f"</{x.split()[0]}>" for x in reversed(outer))
+        out.append(f'{opened}<{inner} data-y="{label}">{_say(words, links)}</{inner}>{closed}')
     return "<body>" + "".join(out) + "</body>"
 
 
 #: The labelled table: blocks of sample pages as (element, words, linked words, main text or not).
 SAMPLES = (
-    _page(("nav>li", 1, 1, 0), ("nav>li", 2, 2, 0), ("div class=ad>p", 7, 0, 0), ("article>h1", 9, 0, 1), ("article>p", 60, 0, 1), ("article>p", 2, 0, 1), ("article>p", 1, 0, 1), ("article>p", 35, 2, 1), ("footer>p", 11, 0, 0)),
-    _page(("header>p", 4, 1, 0), ("ul class=menu>li", 2, 2, 0), ("main>h1", 6, 0, 1), ("main>p", 44, 1, 1), ("main>li", 5, 0, 1), ("main>li", 1, 1, 1), ("main>h2", 3, 0, 1), ("main>p", 80, 4, 1), ("aside>p", 30, 3, 0), ("aside>li", 6, 6, 0), ("form>label", 2, 0, 0), ("div class=comments>p", 40, 0, 0), ("footer>p", 8, 4, 0)),
-    _page(("div>p", 12, 0, 0), ("article>p", 20, 0, 1), ("article>p", 3, 3, 1), ("div>p", 25, 0, 0), ("div class=comment>p", 52, 0, 0), ("div class=related>li", 7, 7, 0), ("div>p", 3, 0, 0)),
-    _page(("div>a", 3, 3, 0), ("div>h1", 7, 0, 1), ("div>p", 45, 0, 1), ("div>p", 70, 2, 1), ("div>p", 12, 0, 1), ("div>p", 55, 0, 1), ("div>li", 5, 5, 0), ("div>li", 4, 4, 0), ("div>p", 6, 2, 0)),
-    _page(("td>p", 4, 4, 0), ("td>p", 3, 3, 0), ("td>p", 90, 0, 1), ("td>p", 33, 0, 1), ("td>p", 8, 0, 1), ("td>p", 64, 5, 1), ("td>p", 5, 3, 0), ("td>p", 4, 1, 0)),
-    _page(("div>p", 2, 1, 0), ("div>p", 3, 0, 0), ("div>p", 26, 0, 1), ("div>p", 31, 0, 1), ("div class=cookie>p", 28, 1, 0), ("div class=sidebar>p", 33, 2, 0), ("div>p", 9, 9, 0)),
-    _page(("div class=content>h1", 5, 0, 1), ("div class=content>p", 18, 0, 1), ("div class=content>p", 1, 0, 1), ("div class=content>p", 22, 8, 1), ("div id=share>p", 2, 2, 0), ("div>p", 16, 1, 0), ("section class=newsletter>p", 14, 0, 0)),
+    # marked by elements
+    _page(("div class=ad>p", 7, 0, 0), ("article>h1", 9, 0, 1), ("article>p", 60, 0, 1), ("article>p", 2, 0, 1), ("article>p", 1, 0, 1), ("article>p", 35, 2, 1)),
+    _page(("ul>li", 2, 2, 0), ("main>h1", 6, 0, 1), ("main>p", 44, 1, 1), ("main>li", 5, 0, 1), ("main>li", 1, 1, 1), ("main>h2", 3, 0, 1), ("main>p", 80, 4, 1), ("div class=comments>p", 40, 0, 0)),
+    _page(("div>p", 12, 0, 0), ("article>p", 20, 0, 1), ("article>p", 3, 3, 1), ("div>p", 25, 0, 0), ("div class=comment>p", 52, 0, 0), ("div>p", 3, 0, 0)),
+    _page(("article>p", 5, 0, 1), ("article>p", 4, 4, 1), ("article>li", 9, 6, 1), ("article>p", 30, 0, 1), ("div>p", 60, 0, 0), ("div>p", 45, 1, 0)),
+    _page(("div>li", 3, 3, 0), ("main>p", 3, 0, 1), ("main>p", 8, 8, 1), ("main>h3", 2, 2, 1), ("main>td", 1, 0, 1), ("main>p", 12, 3, 1), ("div>p", 80, 0, 0), ("div>h3", 4, 0, 0)),
+    _page(("div>p", 70, 0, 0), ("div>p", 2, 0, 0), ("article>p", 1, 0, 1), ("article>p", 2, 1, 1), ("article>p", 1, 1, 1), ("div>p", 50, 0, 0), ("div class=comments>p", 100, 0, 0)),
+    # names within an article: most tell of what isn't its text, some mislead
+    _page(("article><div class=share>span", 2, 0, 0), ("article>p", 40, 0, 1), ("article><div class=ad>p", 12, 0, 0), ("article>p", 30, 0, 1), ("article><div class=related>li", 6, 6, 0), ("article><div class=comment>p", 25, 0, 0), ("article><div class=comment>p", 60, 1, 0)),
+    _page(("article><div class=newsletter>p", 14, 0, 0), ("article>p", 50, 0, 1), ("article><div class=promo>p", 9, 3, 0), ("article>p", 8, 0, 1), ("article><div class=comment>p", 4, 0, 0)),
+    # names alone
+    _page(("div class=content>h1", 5, 0, 1), ("div class=content>p", 18, 0, 1), ("div class=content>p", 1, 0, 1), ("div class=content>p", 22, 8, 1), ("div id=share>p", 2, 2, 0), ("section class=newsletter>p", 14, 0, 0)),
+    _page(("div class=cookie>p", 28, 1, 0), ("div>p", 26, 0, 1), ("div>p", 31, 0, 1), ("div class=sidebar>p", 33, 2, 0), ("div>li", 9, 9, 0), ("div>li", 4, 4, 0)),
+    _page(("div>p", 30, 0, 1), ("div>p", 62, 0, 1), ("div class=sidebar>p", 40, 0, 0), ("div class=comments>p", 70, 0, 0), ("div class=popup>p", 8, 0, 0)),
+    _page(("div class=menu>li", 3, 3, 0), ("div class=content>li", 3, 3, 1), ("div class=content>li", 6, 6, 1), ("div class=content>p", 7, 0, 1), ("div class=post>p", 20, 20, 1)),
+    # no telling markup at all: the block and its neighbours
+    _page(("div>li", 3, 3, 0), ("div>li", 2, 2, 0), ("div>p", 2, 0, 0), ("div>li", 2, 2, 0), ("div>h1", 7, 0, 1), ("div>p", 45, 0, 1), ("div>p", 3, 0, 1), ("div>p", 70, 2, 1), ("div>p", 12, 1, 1), ("div>li", 5, 5, 0), ("div>p", 3, 0, 0), ("div>li", 4, 4, 0), ("div>p", 6, 3, 0)),
+    _page(("td>p", 4, 4, 0), ("td>p", 3, 0, 0), ("td>p", 3, 3, 0), ("td>p", 90, 0, 1), ("td>p", 33, 0, 1), ("td>p", 8, 0, 1), ("td>p", 1, 0, 1), ("td>p", 64, 5, 1), ("td>p", 5, 3, 0), ("td>p", 4, 1, 0), ("td>p", 6, 6, 0)),
+    _page(("div>li", 1, 1, 0), ("div>li", 1, 1, 0), ("div>p", 4, 0, 0), ("div>li", 3, 3, 0), ("div>li", 2, 1, 0), ("div>p", 22, 0, 1), ("div>p", 5, 0, 1), ("div>p", 19, 3, 1)),
     _page(("p", 40, 0, 1), ("p", 15, 0, 1), ("p", 2, 0, 1), ("p", 38, 1, 1)),
+    _page(("h1", 1, 0, 1), ("p", 3, 0, 1), ("p", 1, 0, 1)),
     _page(("p", 11, 0, 1)),
-    _page(("nav>li", 2, 2, 0), ("article>p", 5, 0, 1), ("article>p", 4, 4, 1), ("article>li", 9, 6, 1), ("article>p", 30, 0, 1), ("div>p", 60, 0, 0), ("div>p", 45, 1, 0)),
-    _page(("div>li", 3, 3, 0), ("main>p", 3, 0, 1), ("main>p", 8, 8, 1), ("main>h3", 2, 2, 1), ("main>td", 1, 0, 1), ("main>p", 12, 3, 1), ("div>p", 80, 0, 0), ("div>h3", 4, 0, 0), ("footer>p", 50, 0, 0)),
-    _page(("div>p", 70, 0, 0), ("div>p", 2, 0, 0), ("article>p", 1, 0, 1), ("article>p", 2, 1, 1), ("article>p", 1, 1, 1), ("div>p", 50, 0, 0), ("div class=comments>p", 100, 0, 0), ("div class=sidebar>p", 75, 0, 0)),
-    _page(("nav>p", 20, 0, 0), ("div>p", 30, 0, 1), ("div>p", 62, 0, 1), ("div class=sidebar>p", 40, 0, 0), ("aside>p", 90, 0, 0), ("div class=comments>p", 70, 0, 0), ("footer>p", 60, 0, 0)),
-    _page(("header>p", 12, 0, 0), ("aside>p", 25, 0, 0), ("p", 20, 0, 1), ("p", 8, 0, 1), ("p", 9, 0, 1), ("form>p", 35, 0, 0), ("div class=comment>p", 8, 0, 0), ("div class=promo>p", 55, 0, 0), ("footer>p", 9, 0, 0)),
-    _page(("nav>p", 90, 0, 0), ("div class=content>li", 3, 3, 1), ("div class=content>li", 6, 6, 1), ("div class=content>p", 7, 0, 1), ("div>p", 33, 0, 0), ("aside>p", 120, 0, 0)),
+    _page(("p", 3, 0, 1)),
+    _page(("h2", 4, 0, 1), ("p", 5, 0, 1), ("p", 4, 0, 1), ("p", 6, 1, 1), ("p", 3, 0, 1)),
+    _page(("p", 2, 2, 0), ("p", 5, 5, 0), ("p", 3, 3, 0)),
 )
 
 
