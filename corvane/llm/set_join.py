@@ -30,8 +30,10 @@ from .common import U
 MEMBER = "doc_id long, n_shingles long, sid long, parity array<long>, sketch binary, digest long"
 #: Bits of the filter of shared signatures are 16 each, between these bounds; a full one lets more pass, which a join sorts out.
 FILTER_BITS = (20, 29)
-#: Rows of deletion keys cost as many parity tests as this.
-KEY_COST = 8
+#: A row of a deletion key, made in Python, dealt out and joined, costs about as much as so many parity tests in a join.
+KEY_COST = 64
+#: Leaders of each lead's sets in the first round; few, since sets of one group link with most of them.
+LEADERS = 4
 WORDS = 8  # 64-bit words of parity
 TRAITS = ["n", *(f"p{i}" for i in range(WORDS))]
 
@@ -336,7 +338,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         C.discard(old)
     cover = C.spill(_covered(left.select("sig", "sid")).join(traits, "sid"), "cover")
     C.discard(left)
-    leaders = 64
+    leaders = LEADERS
     while True:
         left = spanning("lead", cover)
         if left.isEmpty():
