@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import InvalidQuery, NotFound
 from ..plans import predicates as P
 from ..storage import settle
 
+#: Frontiers that are kept apart before they are merged.
+FRAMES = 16
+
 
 @dataclass(frozen=True)
 class Step:
@@ -70,23 +72,24 @@ class Graph:
     def bfs(self, start: int, direction: str = "out", types: list[str] | None = None, max_depth: int | None = 10, labels: list[str] | None = None, until: int | None = None, by_key: bool = False) -> DataFrame:
         """id, label, depth, parent, edge, type, rank of all nodes reached, each by its first discovery.
 
-        Discovery goes by the parent's rank, direction, type (in the list's order, or by its key) and neighbour. A label
-        filter hides nodes but is walked through. Each level is one join with the edges and is settled.
+        Discovery goes by the parent's rank, direction, type (in the list's order, or by its key) and neighbour; ranks
+        rise in that order, with gaps. A label filter hides nodes but is walked through. Each level is one join with the
+        edges, range-sorted for its ranks, and is settled; no level meets in one task.
         """
         e = self.directed(direction, types)
-        kind = F.lit(0) if not types or by_key else F.array_position(F.array(*map(F.lit, types)), F.col("type"))
+        kind = F.lit(0) if not types or by_key else F.array_position(F.array(*map(F.lit, types)), F.col("type")).cast("int")
         spark = self.nodes.sparkSession
-        shape = "id long, depth int, parent long, edge long, type string, rank long"
-        seen = spark.createDataFrame([(start, 0, None, None, None, 0)], shape)
-        level, depth = seen, 0
+        begin = spark.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("edge"), F.lit(None).cast("string").alias("type"), F.lit(0).cast("long").alias("rank"))
+        seen = level = begin
+        depth = 0
         while max_depth is None or depth < max_depth:
             depth += 1
-            met = F.broadcast(level) if depth == 1 else level
-            found = e.join(met.select(F.col("id").alias("from"), F.col("rank").alias("prank")), "from").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
-            order = [F.col("prank"), F.col("dir"), kind, F.octet_length("type"), F.col("type"), F.col("to"), F.col("edge")]
-            first = found.withColumn("n", F.row_number().over(Window.partitionBy("to").orderBy(*order))).where("n = 1")
-            ranked = first.select(F.col("to").alias("id"), F.lit(depth).alias("depth"), F.col("from").alias("parent"), "edge", "type", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
-            level = settle(ranked)
+            # The start is a literal, so that its edges are found by a filter of the scan.
+            met = e.where(F.col("from") == start).withColumn("prank", F.lit(0).cast("long")) if depth == 1 else e.join(level.select(F.col("id").alias("from"), F.col("rank").alias("prank")), "from")
+            found = met.join(seen.select(F.col("id").alias("to")), "to", "left_anti")
+            way = F.struct("prank", "dir", kind.alias("kind"), F.octet_length("type").alias("width"), "type", F.col("to").alias("id"), "edge", F.col("from").alias("parent"))
+            first = found.groupBy("to").agg(F.min(way).alias("x")).select("x.*").orderBy("prank", "dir", "kind", "width", "type", "id", "edge")
+            level = settle(first.select("id", F.lit(depth).alias("depth"), "parent", "edge", "type", F.monotonically_increasing_id().alias("rank")))
             if level.isEmpty():
                 break
             seen = seen.unionByName(level)
@@ -148,10 +151,12 @@ class Graph:
                 return steps[::-1]
             at = r["parent"]
 
-    def distances(self, start: int, weight: str | None, default: float = 1.0, direction: str = "out", types: list[str] | None = None) -> DataFrame:
+    def distances(self, start: int, weight: str | None, default: float = 1.0, direction: str = "out", types: list[str] | None = None, until: int | None = None) -> DataFrame:
         """id, cost, parent, edge, type of all nodes reached at least cost; weights are numbers under `weight`, else default.
 
-        Frontiers are relaxed until none improves. A weight that is negative or not finite is an error.
+        Frontiers are relaxed until none improves, and each is kept as it was found: a round writes its improvements only.
+        With `until`, ways that already cost as much as that node's are dropped, so that only its own row is sure to be
+        least. A weight that is negative or not finite is an error.
         """
         w = F.lit(float(default)) if weight is None else F.coalesce(P.typed(P.step(P.resolver(self.edges)("properties"), weight), "float").cast("double"), F.lit(float(default)))
         weighed = self.edges.select(F.col("id").alias("edge"), w.alias("w"))
@@ -159,19 +164,31 @@ class Graph:
         if not bad.isEmpty():
             raise InvalidQuery("a weight is negative or not finite")
         e = settle(self.directed(direction, types).join(weighed, "edge"))
-        best = e.sparkSession.createDataFrame([(start, 0.0, None, None, None)], "id long, cost double, parent long, edge long, type string")
-        front = best
+        front = e.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("edge"), F.lit(None).cast("string").alias("type"))
+        log, frames, bound = front, 1, None
         while True:
             step = e.join(front.select(F.col("id").alias("from"), "cost"), "from").select(F.col("to").alias("id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("from").alias("parent"), "edge", "type").alias("x")).groupBy("id").agg(F.min("x").alias("x"))
-            better = step.join(best.select("id", F.col("cost").alias("old")), "id", "left").where(F.col("old").isNull() | (F.col("x.cost") < F.col("old")))
+            if bound is not None:
+                step = step.where(F.col("x.cost") < bound)
+            known = log.groupBy("id").agg(F.min("cost").alias("old"))
+            better = step.join(known, "id", "left").where(F.col("old").isNull() | (F.col("x.cost") < F.col("old")))
             front = settle(better.select("id", "x.cost", "x.parent", "x.edge", "x.type"))
             if front.isEmpty():
-                return best
-            best = settle(best.join(front.select("id"), "id", "left_anti").unionByName(front))
+                return self._least(log)
+            log, frames = log.unionByName(front), frames + 1
+            if frames > FRAMES:  # many small frames become one
+                log, frames = settle(self._least(log)), 1
+            if until is not None:
+                met = front.where(F.col("id") == until).agg(F.min("cost")).first()[0]
+                bound = met if met is not None else bound
+
+    @staticmethod
+    def _least(log: DataFrame) -> DataFrame:
+        return log.groupBy("id").agg(F.min(F.struct("cost", "parent", "edge", "type")).alias("x")).select("id", "x.*")
 
     def weighted_path(self, start: int, end: int, weight: str | None, default: float = 1.0, direction: str = "out", types: list[str] | None = None) -> tuple[float, list[Step]] | None:
         """(cost, steps) of a path of least cost; None if there is none."""
-        best = self.distances(start, weight, default, direction, types)
+        best = settle(self.distances(start, weight, default, direction, types, until=end))
         steps = self._back(best, start, end)
         return steps and (steps[-1].cost, steps)
 
