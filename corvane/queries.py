@@ -240,6 +240,9 @@ add("graph_degree", WITH + "SELECT n.id, n.label, CAST(count(e.src) AS BIGINT) A
 add("graph_hubs", WITH + "SELECT n.id, CAST(count(*) AS BIGINT) AS degree FROM nodes n JOIN (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) ON n.id = x WHERE n.label = 'Supplier' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", lambda s, d: Graph(*graph(s, d)).top_hubs(10, "both", "Supplier"))
 REACH = ", b(id, depth) AS (SELECT {0}, 0 UNION SELECT src, depth + 1 FROM b JOIN edges ON dst = b.id WHERE depth < 3), f AS (SELECT id, min(depth) AS depth FROM b GROUP BY 1) SELECT f.id, f.depth FROM f"
 add("graph_bfs", WITH + REACH.format(ASIA), lambda s, d: Graph(*graph(s, d)).bfs(ASIA, "in", max_depth=3).select("id", "depth"))
+add("graph_bfs_parents", WITH + f"""SELECT src AS id, 1 AS depth, dst AS parent FROM edges WHERE dst = {ASIA} UNION ALL SELECT b.src, 2, b.dst FROM edges a JOIN edges b ON b.dst = a.src WHERE a.dst = {ASIA}
+    UNION ALL SELECT c.src, 3, first(c.dst ORDER BY a.src, b.src) FROM edges a JOIN edges b ON b.dst = a.src JOIN edges c ON c.dst = b.src WHERE a.dst = {ASIA} GROUP BY 1""",
+    lambda s, d: Graph(*graph(s, d)).bfs(ASIA, "in", max_depth=3).where("depth > 0").select("id", "depth", "parent"))
 add("graph_bfs_label", WITH + REACH.format(ASIA) + " JOIN nodes n ON n.id = f.id WHERE label = 'Customer'", lambda s, d: Graph(*graph(s, d)).bfs(ASIA, "in", max_depth=3, labels=["Customer"]).select("id", "depth"))
 add("graph_subgraph", WITH + f"SELECT id FROM edges WHERE type = 'IN_REGION' AND dst = {ASIA}", lambda s, d: Graph(*graph(s, d)).subgraph(ASIA, "in", 1)[1].select("id"))
 
