@@ -3,7 +3,8 @@
 Unit vectors are turned into the axes of their second moments, largest first, which keeps products. By cells
 of the two leading axes they are packed into tiles of about TILE, with bounds on their leading coordinates; tiles whose
 bounds lie too far apart for the threshold never meet. In a pair of tiles the products of the leading axes are summed first; what the rest
-can add is at most the product of suffix norms, so pairs that can't reach the threshold stop there.
+can add is at most the product of suffix norms, so pairs that can't reach the threshold stop there. Tiles carry the
+vectors as given and are turned where they meet; a pair within rounding of the threshold is decided on the given ones.
 
 Equal vectors are one, with a count. A pair of tiles gives each vector's number of links and its root in that pair's
 links, never the links themselves.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TILE, LEAD, BOX = 2048, 16, 8
+#: Products of turned unit vectors are within SLACK of the cosine. Open pairs are listed when they are this share of a tile's.
+SLACK, SPARSE = 1e-9, 0.1
 TILE_SCHEMA = "tile long, c1 int, c2 int, lo array<double>, hi array<double>, ids binary, counts binary, items binary"
 
 
@@ -58,26 +61,44 @@ def axes(moment: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(moment)[1][:, ::-1].copy()
 
 
-def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) of rows of a and b whose product is at least `least`; rows have length 1 and d columns."""
-    slack = 1e-12
-    lead = min(LEAD, a.shape[1])
-    rest = [np.sqrt(np.maximum((x[:, lead:] ** 2).sum(axis=1), 0)) for x in (a, b)]
-    s = a[:, :lead] @ b[:, :lead].T
-    open_ = s + rest[0][:, None] * rest[1] >= least - slack
-    if open_.mean() > 0.1:
-        s += a[:, lead:] @ b[:, lead:].T
-        return np.nonzero(s >= least)
-    i, j = np.nonzero(open_)
-    s = s[i, j]
-    while lead < a.shape[1] and len(i):
-        nxt = min(lead + LEAD, a.shape[1])
-        s = s + np.einsum("ij,ij->i", a[i, lead:nxt], b[j, lead:nxt])
-        lead = nxt
-        rest = [np.sqrt(np.maximum((x[:, lead:] ** 2).sum(axis=1), 0)) for x in (a, b)]
-        on = s + rest[0][i] * rest[1][j] >= least - slack
-        i, j, s = i[on], j[on], s[on]
+def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes (i, j) of rows of a and b whose product may reach `least`, with the product; rows have length 1 and d columns.
+
+    LEAD axes are added at a time. While many pairs are open, products are those of whole tiles, later those of open pairs.
+    What is within SLACK of `least` stays in.
+    """
+    d = a.shape[1]
+    suffix = [np.sqrt(np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]) for x in (a, b)]
+    s, i, j, at = np.zeros((len(a), len(b))), None, None, 0
+    while at < d:
+        nxt = min(at + LEAD, d)
+        if i is None:
+            s += a[:, at:nxt] @ b[:, at:nxt].T
+        else:
+            s = s + np.einsum("ij,ij->i", a[i, at:nxt], b[j, at:nxt])
+        at = nxt
+        rest = [x[:, at] if at < d else np.zeros(len(x)) for x in suffix]
+        on = s + (rest[0][:, None] * rest[1] if i is None else rest[0][i] * rest[1][j]) >= least - SLACK
+        if i is not None:
+            i, j, s = i[on], j[on], s[on]
+        elif at == d or np.count_nonzero(on) <= on.size * SPARSE:
+            i, j = np.nonzero(on)
+            s = s[i, j]
+        if i is not None and not len(i):
+            break
+    if i is None:
+        i, j = np.nonzero(s >= least - SLACK)
+        s = s[i, j]
+    return i, j, s
+
+
+def decide(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose cosine is at least `least`: those within SLACK of it go by the given vectors a and b, not by turned ones."""
     on = s >= least
+    near = np.flatnonzero(np.abs(s - least) <= SLACK)
+    if len(near):
+        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (a[i[near]], b[j[near]]))
+        on[near] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= least
     return i[on], j[on]
 
 
@@ -98,7 +119,7 @@ def _pack(turn):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("least", "ascending"), ("rep", "ascending")])
         y = unit(matrix(t["embedding"])) @ turn.value
-        return pa.table({"tile": t["tile"][:1], "c1": t["c1"][:1], "c2": t["c2"][:1], "lo": [y[:, :BOX].min(axis=0).tolist()], "hi": [y[:, :BOX].max(axis=0).tolist()], "ids": [t["rep"].to_numpy().tobytes()], "counts": [t["c"].to_numpy().tobytes()], "items": [y.tobytes()]})
+        return pa.table({"tile": t["tile"][:1], "c1": t["c1"][:1], "c2": t["c2"][:1], "lo": [y[:, :BOX].min(axis=0).tolist()], "hi": [y[:, :BOX].max(axis=0).tolist()], "ids": [t["rep"].to_numpy().tobytes()], "counts": [t["c"].to_numpy().tobytes()], "items": [matrix(t["embedding"]).tobytes()]})
 
     return run
 
@@ -114,14 +135,15 @@ def _cells(turn, cell: float):
     return run
 
 
-def _links(d: int, least: float):
+def _links(turn, d: int, least: float):
     def run(batches):
+        t = turn.value
         for b in batches:
             for x in b.to_pylist():
                 a, z = (np.frombuffer(x["items" + k], np.float64).reshape(-1, d) for k in "ab")
                 ids = [np.frombuffer(x["ids" + k], np.int64) for k in "ab"]
                 counts = [np.frombuffer(x["counts" + k], np.int64) for k in "ab"]
-                i, j = compare(a, z, least)
+                i, j = decide(a, z, *compare(unit(a) @ t, unit(z) @ t, least), least)
                 if x["a"] == x["b"]:
                     on = i < j
                     i, j = i[on], j[on]
@@ -184,4 +206,4 @@ def _found(groups: DataFrame, d: int, least: float) -> DataFrame:
     pairs = left.join(spot.withColumnRenamed("tile", "b"), ["c1", "c2"]).where("a <= b").where(gap <= F.lit(reach * reach)).select("a", "b")
     one = tiles.select(F.col("tile").alias("a"), F.col("ids").alias("idsa"), F.col("counts").alias("countsa"), F.col("items").alias("itemsa"))
     two = tiles.select(F.col("tile").alias("b"), F.col("ids").alias("idsb"), F.col("counts").alias("countsb"), F.col("items").alias("itemsb"))
-    return C.spill(pairs.join(one, "a").join(two, "b").mapInArrow(_links(d, least), "node long, links long, root long"), "vector_links", 16)
+    return C.spill(pairs.join(one, "a").join(two, "b").mapInArrow(_links(turn, d, least), "node long, links long, root long"), "vector_links", 16)

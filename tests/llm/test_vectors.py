@@ -58,5 +58,26 @@ def test_early_stop_equals_full_product():
     rng = np.random.default_rng(3)
     a, b = (V.unit(rng.normal(size=(200, 64))) for _ in range(2))
     b[:20] = V.unit(a[:20] + rng.normal(size=(20, 64)) * 0.02)
-    i, j = V.compare(a, b, 0.95)
-    assert set(zip(i, j)) == set(zip(*np.nonzero(a @ b.T >= 0.95))) and len(i) == 20
+    i, j, s = V.compare(a, b, 0.95)
+    assert np.allclose(s, (a[i] * b[j]).sum(axis=1)) and set(zip(i, j)) == set(zip(*np.nonzero(a @ b.T >= 0.95))) and len(i) == 20
+
+
+def test_all_open_pairs_are_summed_to_the_end():
+    a = V.unit(np.ones((50, 40)) + np.random.default_rng(4).normal(size=(50, 40)) * 0.02)
+    i, j, _ = V.compare(a, a, 0.95)
+    assert len(i) == 2500
+    i, j, _ = V.compare(a, -a, 0.95)
+    assert len(i) == 0
+
+
+def test_pairs_at_the_threshold_go_by_the_given_vectors(spark):
+    """(3, 4) and (4, 3) have the cosine 0.96 to the last bit, whatever their axes; 0.96 links them, the next double doesn't."""
+    rng = np.random.default_rng(5)
+    rows = [(1, [3.0, 4.0, 0.0]), (2, [4.0, 3.0, 0.0])] + [(10 + i, rng.normal(size=3).round(3).tolist()) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for least, n in ((24 / 25, 1), (math.nextafter(24 / 25, 1), 0)):
+        got = sorted(map(tuple, V.near_duplicates(table, least).collect()))
+        assert got == brute(rows, least)
+    a, b = np.array([rows[0][1]]), np.array([rows[1][1]])
+    for least, n in ((24 / 25, 1), (math.nextafter(24 / 25, 1), 0)):
+        assert len(V.decide(a, b, np.array([0]), np.array([0]), np.array([24 / 25 - 1e-12]), least)[0]) == n
