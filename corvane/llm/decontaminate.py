@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching (operator 6).
 
 Texts are normalised: lower-cased, white space runs as one space. An item of m characters may occur with up to
-k = max(1, m * error) edits. Cut into k + 1 pieces, one of them stands unchanged in every such occurrence; an Aho-Corasick
+k = floor(m * error) edits. An item too short for an edit must stand as it is, with no letter or digit beside its ends
+where it has one there, so that "a" isn't found in "banana". Cut into k + 1 pieces, one of them stands unchanged in every such occurrence; an Aho-Corasick
 automaton finds all exact pieces in one pass over a text, and Myers' bit-parallel distance verifies the item about each hit.
 """
 
@@ -25,7 +26,14 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int, error: float) -> int:
-    return max(1, int(m * error))
+    return int(m * error)
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] is cut out of no word."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    right = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+    return not left and not right
 
 
 def pieces(item: str, error: float) -> list[tuple[int, str]]:
@@ -99,6 +107,10 @@ class Matcher:
         found = []
         for i, each in spans.items():
             item_id, item, k, peq = self.items[i]
+            if k == 0:  # the one piece is the item itself
+                if any(bounded(text, lo, hi) for lo, hi in each):
+                    found.append((item_id, 0))
+                continue
             best, done = k + 1, -1
             each.sort()
             merged: list[list[int]] = []
@@ -153,7 +165,7 @@ def _blocks(benchmark: DataFrame):
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.08) -> DataFrame:
     """doc_id, item_id, distance: items of benchmark (item_id, text) in whole texts of docs (doc_id, text), within budget.
 
-    A null, empty or blank text or item matches nothing; equal rows of docs match alike, one row each; rows of one
+    A null, empty or blank text or item matches nothing; an item of under 1 / error characters only as whole words; equal rows of docs match alike, one row each; rows of one
     item_id are items of their own. The benchmark, a stated query set, is taken by all tasks in blocks of BLOCK_BYTES.
     """
     spark = docs.sparkSession
