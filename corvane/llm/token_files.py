@@ -39,11 +39,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     blocks = -(-n // BLOCK)
     grid = np.zeros((blocks, BLOCK + PAD), np.uint64)
-    full = np.zeros(blocks * BLOCK, np.uint64)
-    full[:n] = ids
-    grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
+    whole = n // BLOCK
+    grid[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+    grid[whole:, : n - whole * BLOCK] = ids[whole * BLOCK :]
     if not n or int(ids.max()) < len(SMALL):
-        bits = SMALL[grid.astype(np.int64)]
+        bits = SMALL[grid.view(np.int64)]
     elif int(ids.max()) >= 1 << 52:
         bits = np.searchsorted(U(1) << np.arange(64, dtype=np.uint64), grid, side="right").astype(np.uint8)
     else:
@@ -79,8 +79,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == ESCAPE:
             words[first[mine] + 1] = flat[cell[mine]]
             continue
+        at, held = cell[mine], np.zeros(len(mine), np.uint64)
         for j in range(COUNTS[s]):
-            words[first[mine]] |= flat[cell[mine] + j] << U(j * BITS[s])
+            held |= flat[at + j] << U(j * BITS[s])
+        words[first[mine]] |= held
     per = np.bincount(where // BLOCK, weights=size, minlength=blocks).astype(np.int64) if n else np.zeros(0, np.int64)
     return words, np.concatenate(([0], np.cumsum(per)))
 
@@ -106,8 +108,9 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
             flat[cell[mine]] = words[idx[mine] + 1]
             continue
         mask = U((1 << int(BITS[s])) - 1)
+        at, held = cell[mine], words[idx[mine]]
         for j in range(COUNTS[s]):
-            flat[cell[mine] + j] = (words[idx[mine]] >> U(j * BITS[s])) & mask
+            flat[at + j] = (held >> U(j * BITS[s])) & mask
     return out[:, :BLOCK].reshape(-1)[:n]
 
 
@@ -142,11 +145,12 @@ class Encoder:
 
     WHITE, DARK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"  # the tokenizer's \s and \S; Python's \s has \x1c-\x1f as well
     LETTER, SIGN = r"[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-&(-/:-@\[-`{-~]"
-    PIECE = re.compile(rf" ?{LETTER}++(?={SIGN})| ?{DARK}++|{WHITE}+(?!{DARK})|{WHITE}+")
+    OTHER = r"(?:[^\s!-&(-/:-@\[-`{-~]|[\x1c-\x1f])"  # dark, and no sign
+    PIECE = re.compile(rf" ?{LETTER}++(?!{OTHER})| ?{DARK}++|{WHITE}+(?!{DARK})|{WHITE}+")  # most words end in the first branch
     BLANK = re.compile(rf"{WHITE}+")
     LONG = 64
 
-    def __init__(self, tokenizer_json: str, room: int = 100 << 20):
+    def __init__(self, tokenizer_json: str, room: int = 160 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
