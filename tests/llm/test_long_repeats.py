@@ -99,3 +99,31 @@ def test_index_holds_samples_of_runs_alone():
     text = np.tile(np.random.default_rng(9).integers(0, 4, 50), 40).astype(np.uint8)
     index = R.RunIndex(text)
     assert all(len(v) <= 100 for v in vars(index).values() if isinstance(v, np.ndarray)) and len(text) == 2000
+
+
+def test_rounds_move_only_crowded_contexts(spark):
+    """What a gram of many contexts takes to split doesn't depend on the contexts of all other grams."""
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    core, forks = say(400), [(say(60), say(60)) for _ in range(5)]
+    rows = [(i, rng.choice("xyz") + core + "".join(f[i >> j & 1] for j, f in enumerate(forks)) + say(500)) for i in range(64)]
+    for i in range(300):
+        passage = say(700)
+        rows += [(1000 + 2 * i + j, say(600) + passage + say(600)) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def run(block):
+        written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+        before = written()
+        got = sorted(map(tuple, R.remove_repeats(docs, 400, block).collect()), key=repr)
+        return got, written() - before
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        (whole, plain), (split, more) = run(2048), run(3)
+    finally:
+        spark.conf.set(key, old)
+    assert whole == split == brute(rows, 400)
+    assert more - plain < plain / 2, (plain, more)
