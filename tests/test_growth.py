@@ -36,6 +36,7 @@ CYCLE = "MATCH (m:Mill)-[:IN]->(t)<-[:IN]-(s:Shop)-[:BUYS]->(k)-[:FROM]->(m) "
 ])
 def test_unread_nodes_are_summed_out(trade, monkeypatch, text, expected):
     nodes, edges, given = trade
+
     def never(self):
         raise AssertionError("all bindings are made")
 
@@ -56,3 +57,30 @@ def test_bindings_are_made_where_edges_matter(trade, text):
     nodes, edges, given = trade
     towns = [b for _, t, b in given if t == "IN"]
     assert run(nodes, edges, text).select("n").first()[0] == (len(towns) if "r.w" in text else sum(towns.count(t) * (towns.count(t) - 1) for t in set(towns)))
+
+
+def join_rows(df) -> int:
+    """Rows of the largest join of df as it ran."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+    return most
+
+
+def test_pairs_of_a_hub_are_only_those_asked_for(spark):
+    """300 shops and 300 mills in one town: 90,000 pairs, of which one mill is wanted."""
+    nodes = spark.createDataFrame([(i, "Town" if i < 2 else "Shop" if i <= 300 else "Mill", (float(i),)) for i in range(601)], "id long, label string, properties struct<size double>")
+    edges = spark.createDataFrame([(i, i, "IN", 0 if i > 2 else 1, (None,)) for i in range(2, 601)], "id long, src long, type string, dst long, properties struct<w double>")
+    df = run(nodes, edges, "MATCH (s:Shop)-[:IN]->(t)<-[:IN]-(m:Mill) WHERE s.size < m.size AND m.size > 599 RETURN id(s) AS s, id(m) AS m")
+    assert join_rows(df) <= 600
+    assert sorted(map(tuple, df.collect())) == [(s, 600) for s in range(3, 301)]
