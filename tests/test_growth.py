@@ -4,6 +4,10 @@ import random
 
 import pytest
 
+from corvane import storage
+from corvane.errors import InvalidQuery
+from corvane.operators import graph
+from corvane.operators.graph import Graph
 from corvane.plans.match import Compiler, run
 
 LABELS = {0: "Town", 1: "Town", **{i: "Mill" for i in range(2, 8)}, **{i: "Shop" for i in range(8, 16)}, **{i: "Sack" for i in range(16, 30)}}
@@ -84,3 +88,39 @@ def test_pairs_of_a_hub_are_only_those_asked_for(spark):
     df = run(nodes, edges, "MATCH (s:Shop)-[:IN]->(t)<-[:IN]-(m:Mill) WHERE s.size < m.size AND m.size > 599 RETURN id(s) AS s, id(m) AS m")
     assert join_rows(df) <= 600
     assert sorted(map(tuple, df.collect())) == [(s, 600) for s in range(3, 301)]
+
+
+def test_large_tables_are_dealt_by_their_size(trade, monkeypatch):
+    """Degrees are grouped in as many tasks as the edges' size asks for, whatever the number of shuffle partitions."""
+    nodes, edges, given = trade
+    assert storage.shares(edges) is None  # of rows that Spark can't size
+    nodes, edges = storage.settle(nodes), storage.settle(edges)
+    monkeypatch.setattr(storage, "SMALL", 0)
+    monkeypatch.setattr(storage, "SHARE", 512)
+    df = Graph(nodes, edges).degrees("both")
+    n = storage.shares(Graph(nodes, edges).directed("both").select("from"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and plan.count(f", {n}), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "")
+    assert {r["id"]: r["degree"] for r in df.collect()} == {i: sum((a == i) + (b == i) for a, _, b in given) for i in LABELS}
+
+
+def test_edges_are_weighed_in_place(trade, monkeypatch):
+    """Weights come with the edges, not by a join of all edges with themselves; bad ones of other types still are errors."""
+    nodes, edges, given = trade
+    plans = []
+    monkeypatch.setattr(graph, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or storage.settle(df))
+    got = {r["id"]: r["cost"] for r in Graph(nodes, edges).distances(8, "w", 2.0, types=["BUYS", "FROM"]).collect()}
+    sacks = {b for a, t, b in given if (a, t) == (8, "BUYS")}
+    assert got == {8: 0.0, **dict.fromkeys(sacks, 2.0), **{b: 4.0 for a, t, b in given if t == "FROM" and a in sacks}}
+    assert "Join" not in plans[0]
+    bad = edges.unionByName(edges.limit(1).selectExpr("1000L AS id", "0L AS src", "'ODD' AS type", "1L AS dst", "named_struct('w', -1.0D) AS properties"))
+    with pytest.raises(InvalidQuery):
+        Graph(nodes, bad).distances(8, "w", types=["BUYS"])
+
+
+def test_hubs_of_a_label_group_its_edges_only(trade, monkeypatch):
+    nodes, edges, given = trade
+    top = Graph(nodes, edges).top_hubs(3, "both", "Mill")
+    assert "LeftSemi" in top._jdf.queryExecution().optimizedPlan().toString()
+    degree = {m: sum((a == m) + (b == m) for a, _, b in given) for m, label in LABELS.items() if label == "Mill"}
+    assert [tuple(r) for r in top.collect()] == sorted(degree.items(), key=lambda x: (-x[1], x[0]))[:3]
